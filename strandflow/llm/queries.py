@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 
 from ..session import read_table
 from .arrivals import repeats_since
+from .cutoff import keep_fraction
+from .formatting import format_copies, records
+from .leakage import leaks
 from .near import near_groups
+from .packing import pack_texts
+from .splitting import split_texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 SINCE = "2025-10-01"
@@ -19,11 +24,57 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return repeats_since(read_table(spark, d, "sequences"), SINCE).select(F.col("id").alias("sequence_id"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return format_copies(read_table(spark, d, "sequences")).where("keep_id <> member_id").select("keep_id", F.col("member_id").alias("copy_id"))
+
+
+def p2_records(spark: SparkSession, d: str) -> DataFrame:
+    return records(read_table(spark, d, "sequences"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return keep_fraction(read_table(spark, d, "predictions"))[1].select(F.col("id").alias("prediction_id")).distinct()
+
+
+def p4_cutoffs(spark: SparkSession, d: str) -> DataFrame:
+    return keep_fraction(read_table(spark, d, "predictions"))[0]
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near_groups(read_table(spark, d, "sequences")).where("group_id <> member_id").select("group_id", F.col("member_id").alias("sequence_id"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p5_found)}
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_groups(read_table(spark, d, "sequences")).groupBy("group_id").agg(F.count("*").alias("n_members"))
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return pack_texts(read_table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    found = leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"), templates=False)
+    return found.where("exact_windows > 0").select(F.col("id").alias("doc_id"), F.col("item").alias("item_id")).distinct()
+
+
+def p8_templates(spark: SparkSession, d: str) -> DataFrame:
+    found = leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "exact_windows", "template_windows", "consistent")
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    return p8_found(spark, d).groupBy("item_id").agg(F.count("*").alias("n_docs"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return split_texts(read_table(spark, d, "documents"), with_text=False).select(F.col("id").alias("doc_id")).distinct()
+
+
+def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split_texts(read_table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_records, p4_found, p4_cutoffs, p5_found, p5_groups, p7_containers, p8_found, p8_templates, p8_items, p9_found, p9_pieces)}
 
 _WINDOWS = """
 letters as (select sequence_id, created_at, regexp_replace(upper(sequence), '[^A-Z]', '', 'g') s from sequences),
@@ -45,3 +96,32 @@ reach as (select id, id as g from texts union select b, r.g from reach r join bo
 label as (select id, min(g) g from reach group by id)
 select g as group_id, sequence_id from letters l join texts t on l.s = t.s join label on label.id = t.id where sequence_id <> g""",
 }
+
+_CANON = """
+canon as (select sequence_id, list_sort(list_filter(string_split_regex(regexp_replace(upper(sequence), '[^A-Z:/|;]', '', 'g'), '[:/|;]+'), lambda c: c <> '')) c,
+ length(regexp_replace(upper(sequence), '[^A-Z]', '', 'g')) n from sequences),
+recs as (select c, min(sequence_id) keep_id, count(*) n_copies from canon where n >= 8 group by c)"""
+ORACLE["p2_found"] = f"with {_CANON} select keep_id, sequence_id copy_id from canon join recs using (c) where n >= 8 and sequence_id <> keep_id"
+ORACLE["p2_records"] = f"with {_CANON} select keep_id, n_copies from recs"
+
+_SCORES = """
+rows as (select distinct prediction_id, lower(trim(model_name)) model_name, lower(trim(prediction_type)) prediction_type, value from predictions
+ where value is not null and not isnan(value) and model_name is not null and prediction_type is not null),
+ranked as (select *, rank() over (partition by model_name, prediction_type order by value desc) r, count(*) over (partition by model_name, prediction_type) n from rows)"""
+ORACLE["p4_found"] = f"with {_SCORES} select distinct prediction_id from ranked where 5 * (r - 1) < n"
+ORACLE["p4_cutoffs"] = f"""with {_SCORES}, kept as (select model_name, prediction_type, max(n) n_rows, min(value) cutoff, count(*) n_kept from ranked where 5 * (r - 1) < n group by all)
+select k.*, (select count(*) from rows r where r.model_name = k.model_name and r.prediction_type = k.prediction_type and r.value = k.cutoff) n_ties from kept k"""
+
+ORACLE["p5_groups"] = ORACLE["p5_found"].replace("select g as group_id, sequence_id from", "select g as group_id, count(*) as n_members from").replace("where sequence_id <> g", "where g in (select g from letters l join texts t on l.s = t.s join label on label.id = t.id where sequence_id <> g) group by g")
+
+_SPANS = """
+dw as (select doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}]+') w from documents where text is not null),
+iw as (select item_id, regexp_extract_all(item_text, '[\\p{L}\\p{N}]+') w from eval_items where item_text is not null),
+ds as (select distinct doc_id, lower(array_to_string(w[i:i + 12], ' ')) s from (select doc_id, w, unnest(range(1, length(w) - 11)) i from dw)),
+js as (select distinct item_id, lower(array_to_string(w[i:i + 12], ' ')) s from (select item_id, w, unnest(range(1, length(w) - 11)) i from iw)),
+hit as (select distinct doc_id, item_id from ds join js using (s))"""
+ORACLE["p8_found"] = f"with {_SPANS} select doc_id, item_id from hit"
+ORACLE["p8_items"] = f"with {_SPANS} select item_id, count(*) n_docs from hit group by item_id"
+# Word characters and blanks in the sense of the tokenizer, which RE2 knows for ASCII only.
+_TOKEN = "[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s\\v\\x{1c}-\\x{1f}\\x{85}\\p{Z}]+"
+ORACLE["p9_found"] = f"select distinct doc_id from documents where length(regexp_extract_all(text, '{_TOKEN}')) > 1024"
