@@ -12,6 +12,8 @@ SKETCH_K = 400  # rank error of a KLL sketch of this size: about 0.7 % at 99 % c
 RANK_ERROR = 0.02
 MAX_BRACKET = 200_000  # distinct values of a source that one task may sort
 BROADCAST_SOURCES = 20_000
+GRID = 50  # each further pass narrows a bracket to about three of so many parts
+ROUNDS = 8  # after which a bracket that holds the cutoff is sorted whatever its size
 
 
 def source_rows(df: DataFrame, id_col: str = "prediction_id", model_col: str = "model_name", type_col: str = "prediction_type", value_col: str = "value") -> DataFrame:
@@ -45,8 +47,9 @@ def cutoffs(rows: DataFrame, keep: float = 0.2, k: int = SKETCH_K, error: float
     need = F.greatest(F.ceil(F.col("n") * F.lit(keep) - F.lit(1e-9)), F.lit(1)).cast("long")
     open_ = sk.select(*src, "n", need.alias("need"), "least", "most", q(1 - keep - error).alias("lo"), q(1 - keep + error).alias("hi"))
     open_ = staged(open_, "brackets")
-    done = None
+    done, round_ = None, 0
     while True:
+        round_ += 1
         b = F.broadcast(open_) if open_.count() <= BROADCAST_SOURCES else open_
         inside = F.when(F.col("value") <= F.col("hi"), F.col("value"))
         counted = rows.join(b, src).where(F.col("value") >= F.col("lo")).groupBy(*src, inside.alias("v")).agg(F.count("*").alias("c"))
@@ -55,7 +58,7 @@ def cutoffs(rows: DataFrame, keep: float = 0.2, k: int = SKETCH_K, error: float
         state = open_.join(above, src, "left").fillna(0, ["above", "reached", "distinct"])
         # The bracket holds the cutoff if what is above it is too few and what it reaches is enough.
         hit = (F.col("above") < F.col("need")) & (F.col("reached") >= F.col("need"))
-        state = staged(state.withColumn("ok", hit & ((F.col("distinct") <= max_bracket) | (F.col("lo") == F.col("hi")))).withColumn("hit", hit), "state")
+        state = staged(state.withColumn("ok", hit & ((F.col("distinct") <= max_bracket) | (F.col("lo") == F.col("hi")) | F.lit(round_ >= ROUNDS))).withColumn("hit", hit), "state")
         w = Window.partitionBy(*src).orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, 0)
         ok = state.where("ok").select(*src, "n", "need", "above")
         run = counted.where("v is not null").join(ok, src).withColumn("upto", F.col("above") + F.sum("c").over(w))
@@ -67,8 +70,10 @@ def cutoffs(rows: DataFrame, keep: float = 0.2, k: int = SKETCH_K, error: float
         # Missed above: the cutoff is beyond hi; missed below: it is under lo; too wide: halve by a new sketch.
         narrow = rest.where("hit").select(*src).join(rows, src).join(rest.select(*src, "lo", "hi", "need", "above"), src).where("value between lo and hi")
         mid = narrow.groupBy(*src, "need", "above").agg(F.count("*").alias("m"), F.kll_sketch_agg_double("value", F.lit(k)).alias("sk"))
-        at = 1 - (F.col("need") - F.col("above")) / F.col("m")
-        mid = mid.select(*src, F.kll_sketch_get_quantile_double("sk", F.greatest(at - error, F.lit(0.0))).alias("nlo"), F.kll_sketch_get_quantile_double("sk", F.least(at + error, F.lit(1.0))).alias("nhi"))
+        # A sketch answers for constant ranks only, so a grid of them is asked and the right ones are picked.
+        grid = F.kll_sketch_get_quantile_double("sk", F.array(*[F.lit(i / GRID) for i in range(GRID + 1)]))
+        at = F.floor((1 - (F.col("need") - F.col("above")) / F.col("m")) * GRID).cast("int")
+        mid = mid.select(*src, F.get(grid, F.greatest(at - 1, F.lit(0))).alias("nlo"), F.get(grid, F.least(at + 2, F.lit(GRID))).alias("nhi"))
         lo = F.when(F.col("hit"), F.col("nlo")).when(F.col("above") >= F.col("need"), F.col("hi")).otherwise(F.col("least"))
         hi = F.when(F.col("hit"), F.col("nhi")).when(F.col("above") >= F.col("need"), F.col("most")).otherwise(F.col("lo"))
         open_ = staged(rest.join(mid, src, "left").select(*src, "n", "need", "least", "most", lo.alias("lo"), hi.alias("hi")), "brackets")
