@@ -83,7 +83,7 @@ def read_pdb(spark: SparkSession, path: str) -> DataFrame:
 
     Lines between models and after the last are left out. A blank file raises ValueError.
     """
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     text = F.regexp_replace("value", r"\r\n?", "\n")
     models = F.regexp_extract_all(text, F.lit(r"(?s)(?:^|\n)(MODEL.*?\nENDMDL[^\n]*)"), F.lit(1))
     has = F.contains(text, F.lit("MODEL")) & F.contains(text, F.lit("ENDMDL")) & (F.size(models) > 0)
