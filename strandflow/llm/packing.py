@@ -15,6 +15,7 @@ from .tokens import token_count
 
 CAPACITY = 2048
 SHARD_ITEMS = 400
+SHARDS_A_TASK = 8
 NODES, STEPS, WIDTH = 2000, 400, 4
 
 
@@ -159,6 +160,8 @@ def _packed(items: DataFrame, capacity: int, per_shard: int, tag: str) -> DataFr
         shard = int(pdf["shard"].iloc[0])
         return pd.DataFrame({"id": pdf["id"], "part": pdf["part"], "tokens": pdf["tokens"], "container": [f"{tag}-{shard}-{n}" for n in box], "fill": fill})
 
+    # A set number of partitions, as the adaptive planner would merge these few bytes into one slow task.
+    keyed = keyed.repartition(max(1, ceil(shards / SHARDS_A_TASK)), "shard")
     return keyed.groupBy("shard").applyInPandas(run, f"id {id_type}, part long, tokens long, container string, fill long")
 
 
