@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import staged, unstaged
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -32,7 +32,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         hop = large.join(low, "u")
         small = hop.select("u", F.col("m").alias("v")).unionByName(hop.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        e = staged(small, "edges")
+        old, e = e, staged(small, "edges")
+        unstaged(old)
         after = _state(e)
         if after == before:
             break

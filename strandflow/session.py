@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_STAGED: dict[str, list[str]] = {}
 
 
 def build_session(app: str = "strandflow", master: str | None = None, **conf: str) -> SparkSession:
@@ -60,7 +61,30 @@ def staged(df: DataFrame, what: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def unstaged(df: DataFrame) -> None:
+    """Deletes the table behind a frame that ``staged`` gave, once nothing that is still to run reads it."""
+    if path := getattr(df, "_staged_path", None):
+        _delete(df.sparkSession, path)
+        _STAGED[df.sparkSession.sparkContext.applicationId].remove(path)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Deletes all tables that this application staged, for when its results have been written; gives their number."""
+    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        _delete(spark, p)
+    return len(paths)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -30,3 +30,18 @@ def test_components(spark):
 
 def test_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_staged_tables_can_be_swept(spark):
+    import os
+
+    from strandflow.session import shared_dir, staged, sweep, unstaged
+
+    df = staged(spark.range(3), "x")
+    assert df.count() == 3
+    path = df._staged_path
+    assert os.path.isdir(path) and path.startswith(shared_dir(spark))
+    unstaged(df)
+    assert not os.path.exists(path)
+    staged(spark.range(3), "y")
+    assert sweep(spark) >= 1 and sweep(spark) == 0
