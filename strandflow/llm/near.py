@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..session import staged
 from . import letters as L
-from .pairs import LEADERS, pair_runs, verified
+from .pairs import LEADERS, pair_runs, prefix_pairs, verified
 
 SLOTS, CHUNK, ERRORS, BITS = 24, 3, 1, 32
 
@@ -77,9 +77,9 @@ def near_groups(df: DataFrame, id_col: str = "sequence_id", text_col: str = "seq
        candidates: all pairs within the signature distance of ``chunk_keys`` and most beyond it (at the
        defaults a pair of similarity 0.5 shares no key with probability 0.004, of 0.6 with 0.0002).
     3. Candidates are checked exactly, and components of the links found.
-    4. A key shared by more than ``leaders`` texts gives first only pairs with its leaders. Its members
-       that then are in different components are paired with each other in a second join, so that no link
-       is lost and none is made between records that are already together.
+    4. A key shared by more than ``leaders`` texts gives only pairs with its leaders. Its members that then
+       are in different components are compared through their rare windows (``prefix_pairs``), so that no
+       link is lost and none is made between records that are already together.
 
     Null texts, and texts with fewer than 8 letters, are in no group; rows with a null id are left out;
     a repeated id counts once; an empty table gives no rows. Other columns are not looked at.
@@ -95,10 +95,11 @@ def near_groups(df: DataFrame, id_col: str = "sequence_id", text_col: str = "seq
         found = staged(found, "found")
         member = long_runs.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
         split = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        m = staged(member.join(split, "key"), "split")
-        x, y = m.toDF("key", "a", "ca"), m.toDF("key", "b", "cb")
-        rest = x.join(y, (x["key"] == y["key"]) & (F.col("ca") < F.col("cb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        rest = rest.join(pairs, ["a", "b"], "left_anti")
+        m = staged(member.join(split, "key", "left_semi").select("id", "component").distinct(), "split")
+        some = texts.join(m.select("id"), "id", "left_semi").select("id", "letters")
+        rest = prefix_pairs(some, some, at_least).where("a < b")
+        apart = rest.join(m.toDF("a", "ca"), "a").join(m.toDF("b", "cb"), "b").where("ca <> cb").select("a", "b")
+        rest = apart.join(pairs, ["a", "b"], "left_anti")
         links = links.unionByName(verified(rest, texts, at_least))
         found = connected_components(links, "a", "b")
     found = staged(found, "found")

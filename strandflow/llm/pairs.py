@@ -8,10 +8,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..session import staged
 from . import letters as L
 
-LEADERS = 64
+LEADERS = 64  # ids up to which a key gives all its pairs
+FEW = 8  # ids of a longer key that all its others are paired with
 RUNS = "kind int, key long, a long, b long"
 _RUNS = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
@@ -23,9 +26,10 @@ def _batch(kind: int, key: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Recor
 def pair_runs(keyed: DataFrame, leaders: int = LEADERS) -> DataFrame:
     """Pairs of ids that share a key, of a table (key long, id long).
 
-    Kind 0 rows are pairs a < b. A key with up to ``leaders`` ids gives all its pairs, a longer one only
-    those with one of its first ``leaders`` ids; all its ids then follow as kind 1 rows (key, id in a),
-    from which the caller gets the remaining pairs in an exact way. So output is linear in the input.
+    Kind 0 rows are pairs a < b. A key with up to ``leaders`` ids gives all its pairs, a longer one those of
+    its first ``leaders`` ids and those of its first ``FEW`` with all others; all its ids then follow as
+    kind 1 rows (key, id in a), from which the caller gets the remaining pairs in an exact way (see
+    ``prefix_pairs``). So output is linear in the input.
     Sorting is Spark's (it spills); the scan over sorted rows holds one batch and ``leaders`` ids.
     """
 
@@ -76,6 +80,7 @@ def pair_runs(keyed: DataFrame, leaders: int = LEADERS) -> DataFrame:
         yield from long_part(key, lead, ids[leaders:])
 
     def long_part(key: int, lead: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        lead = lead[:FEW]
         for at in range(0, len(ids), 4096):
             part = ids[at : at + 4096]
             x, y = np.repeat(lead, len(part)), np.tile(part, len(lead))
@@ -85,6 +90,37 @@ def pair_runs(keyed: DataFrame, leaders: int = LEADERS) -> DataFrame:
     return keyed.select("key", "id").repartition("key").sortWithinPartitions("key", "id").mapInArrow(scan, RUNS)
 
 
+def window_rows(texts: DataFrame) -> DataFrame:
+    """(id, w): the distinct windows of texts (id, letters)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = L.buffers(batch.column(1))
+            for i, key in enumerate(batch.column(0).to_pylist()):
+                if off[i + 1] - off[i] >= L.WINDOW:
+                    w = np.unique(L.packed(data[off[i] : off[i + 1]], L.WINDOW)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), key)), pa.array(w)], names=["id", "w"])
+
+    return texts.select("id", "letters").mapInArrow(run, "id long, w long")
+
+
+def prefix_pairs(left: DataFrame, right: DataFrame, at_least: float) -> DataFrame:
+    """(a, b): all pairs of left and right texts (id, letters) that can have the similarity, found without their shared keys.
+
+    Prefix filtering: with each text's windows ordered from rare to common, two texts of that similarity
+    share one among the first ``n - ceil(at_least * n) + 1`` of each. A stretch that stands in very many
+    texts comes last and joins nothing, so this settles exactly what long keys leave open.
+    """
+    w = staged(window_rows(left.select("id", "letters").unionByName(right.select("id", "letters")).dropDuplicates(["id"])), "windows")
+    freq = w.groupBy("w").agg(F.count("*").alias("f"))
+    rare_first = Window.partitionBy("id").orderBy("f", "w")
+    ranked = w.join(freq, "w").withColumn("r", F.row_number().over(rare_first)).withColumn("n", F.count("*").over(Window.partitionBy("id")))
+    prefix = staged(ranked.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * F.lit(at_least)) + 1) & (F.col("f") > 1)).select("id", "w"), "prefix")
+    a = prefix.join(left.select("id").distinct(), "id", "left_semi").withColumnRenamed("id", "a")
+    b = prefix.join(right.select("id").distinct(), "id", "left_semi").withColumnRenamed("id", "b")
+    return a.join(b, "w").where("a <> b").select("a", "b").distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, at_least: float) -> DataFrame:
     """The pairs (a, b) whose texts have a window similarity of ``at_least``.
 
