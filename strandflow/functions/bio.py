@@ -56,21 +56,32 @@ def reverse_complement(c: Column | str) -> Column:
 
 def translate_codons(c: Column | str) -> Column:
     """Protein of a coding strand: U read as T, stop as '*', a rest of one or two bases ignored, unknown codons 'X'."""
-    s = F.translate(F.upper(_col(c)), "U", "T")
-    table = F.create_map(*[F.lit(x) for codon, aa in zip(("".join(p) for p in product(CODON_BASES, repeat=3)), CODON_RESIDUES) for x in (codon, aa)])
-    codons = F.transform(F.sequence(F.lit(0), F.floor(F.length(s) / 3).cast("int") - 1), lambda i: F.coalesce(F.element_at(table, F.substring(s, i * 3 + 1, F.lit(3))), F.lit("X")))
-    return F.when(s.isNull(), None).when(F.length(s) < 3, "").otherwise(F.array_join(codons, ""))
+    s = F.upper(_col(c))
+    # Codons as numbers of three digits, one per base in table order; what isn't a base makes no number.
+    digits = F.regexp_extract_all(F.translate(s, "U" + CODON_BASES, "00123"), F.lit("(?s)(...)"), F.lit(1))
+    at = {int("".join(d)): aa for d, aa in zip(product("0123", repeat=3), CODON_RESIDUES)}
+    table = F.array(*[F.lit(at.get(i, "X")) for i in range(max(at) + 1)])
+    number = lambda x: F.when(x.rlike("^[0-3]{3}$"), x.try_cast("int"))
+    residue = lambda x: F.coalesce(F.get(table, number(x)), F.lit("X"))
+    return F.when(s.isNull(), None).otherwise(F.array_join(F.transform(digits, residue), ""))
 
 
-def _mismatches(a: Column, b: Column, upto: Column) -> Column:
-    return F.aggregate(F.when(upto > 0, F.sequence(F.lit(1), upto)).otherwise(F.array().cast("array<int>")), F.lit(0), lambda n, i: n + (F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1))).cast("int"))
+def characters(c: Column | str) -> Column:
+    """The characters as an array; reading all of them is linear, which ``substring`` at each place is not."""
+    return F.filter(F.split(_col(c), ""), lambda x: x != "")
+
+
+def _mismatches(a: Column, b: Column) -> Column:
+    """Places of the common length that differ."""
+    differ = F.zip_with(characters(a), characters(b), lambda x, y: x != y)
+    return F.when(a.isNotNull() & b.isNotNull(), F.size(F.filter(differ, lambda x: F.coalesce(x, F.lit(False)))))
 
 
 def hamming(a: Column | str, b: Column | str) -> Column:
     """Places that differ in the common length, plus the difference in length (BIGINT)."""
     a, b = _col(a), _col(b)
     la, lb = F.length(a), F.length(b)
-    return (_mismatches(a, b, F.least(la, lb)) + F.abs(la - lb)).cast("long")
+    return (_mismatches(a, b) + F.abs(la - lb)).cast("long")
 
 
 def hamming_normalized(a: Column | str, b: Column | str) -> Column:
@@ -84,7 +95,7 @@ def identity(a: Column | str, b: Column | str) -> Column:
     """Equal places over the shorter length; 0 if one is empty."""
     a, b = _col(a), _col(b)
     short = F.least(F.length(a), F.length(b))
-    return F.when(short == 0, F.lit(0.0)).otherwise((short - _mismatches(a, b, short)) / short)
+    return F.when(short == 0, F.lit(0.0)).otherwise((short - _mismatches(a, b)) / short)
 
 
 def matches_alphabet(c: Column | str, alphabet: str = AMINO_ACIDS, empty: bool = False) -> Column:
@@ -156,14 +167,13 @@ def mutate_at(c: Column | str, position: Column | int, residue: Column | str) ->
 
 def apply_mask(c: Column | str, positions: Column, mask: str = "<mask>") -> Column:
     """The text with the characters at the 0-based positions replaced by the mask token."""
-    chars = F.filter(F.split(_col(c), ""), lambda x: x != "")
-    return F.array_join(F.transform(chars, lambda x, i: F.when(F.array_contains(positions.cast("array<int>"), i), mask).otherwise(x)), "")
+    return F.array_join(F.transform(characters(c), lambda x, i: F.when(F.array_contains(positions.cast("array<int>"), i), mask).otherwise(x)), "")
 
 
 def mutation_count(a: Column | str, b: Column | str) -> Column:
     """Places of the common length that differ (BIGINT)."""
     a, b = _col(a), _col(b)
-    return _mismatches(a, b, F.least(F.length(a), F.length(b))).cast("long")
+    return _mismatches(a, b).cast("long")
 
 
 def usable_text(c: Column | str) -> Column:

@@ -9,11 +9,15 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bio import characters
+
 
 def kmers(df: DataFrame, k: int, column: str = "sequence") -> DataFrame:
     """(kmer): every substring of length k of every text."""
-    c = F.col(column)
-    return df.where(F.length(c) >= k).select(F.explode(F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.substring(c, i, F.lit(k)))).alias("kmer"))
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    # A look-ahead matches at every place, so one pass over the text gives all.
+    return df.select(F.explode(F.regexp_extract_all(column, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))).alias("kmer"))
 
 
 def kmer_counts(df: DataFrame, k: int, column: str = "sequence") -> DataFrame:
@@ -38,8 +42,7 @@ def shannon_entropy(df: DataFrame, column: str = "sequence", normalize: bool = T
 
     Symbols are counted per position in two hash aggregates. ``normalize`` divides by log2(20).
     """
-    c = F.col(column)
-    sym = df.where(F.length(c) > 0).select(F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.struct(i.alias("p"), F.substring(c, i, F.lit(1)).alias("s")))).alias("x")).select("x.p", "x.s").where("s <> '-'")
+    sym = df.select(F.posexplode(characters(column)).alias("p", "s")).where("s <> '-'")
     n = sym.groupBy("p", "s").agg(F.count("*").alias("n"))
     # Sum over symbols of n * log2 needs the position's total, so the counts are gathered by position (at most an alphabet of them).
     per = n.groupBy("p").agg(F.sum("n").alias("t"), F.collect_list("n").alias("l"))

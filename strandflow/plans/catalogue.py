@@ -17,13 +17,9 @@ from .queries import query
 REFERENCE = "MKTAYIAKQRQISFVKSHFSRQLEERLGLIEVQAPILSRVGDGTQDNLSGAEKAVQVKVKALPDAQFEVV"
 
 
-def _clean(df: DataFrame) -> DataFrame:
-    """Scores with NaN as null; rows delivered twice once."""
-    return df.withColumn("value", flt.clean_number(F.col("value"))).dropDuplicates(["prediction_id"])
-
-
 def _pred(spark: SparkSession, d: str) -> DataFrame:
-    return _clean(read_table(spark, d, "predictions"))
+    """Scores with NaN as null. Rows delivered twice stay, as most operators give the same with them."""
+    return read_table(spark, d, "predictions").withColumn("value", flt.clean_number(F.col("value")))
 
 
 P = "p as (select distinct prediction_id, sequence_id, model_name, prediction_type, case when isnan(value) then null else value end as value, metadata, created_at from predictions)"
@@ -110,7 +106,7 @@ def threshold_no_bounds(spark, d):
 @query("select prediction_id, value from (select distinct prediction_id, value, prediction_type from predictions) where prediction_type = 'plddt' and not isnan(value) and value between 70 and 90")
 def threshold_frame(spark, d):
     p = _pred(spark, d).where("prediction_type = 'plddt'")
-    return flt.Threshold("value", min=70, max=90).apply(p).select("prediction_id", "value")
+    return flt.Threshold("value", min=70, max=90).apply(p).select("prediction_id", "value").distinct()
 
 
 @query("select sequence_id from sequences where length(sequence) between 100 and 200")
@@ -158,7 +154,7 @@ def custom_filter(spark, d):
 
 
 def _tm(spark, d):
-    return _pred(spark, d).where("prediction_type = 'tm' and value is not null").select("prediction_id", "sequence_id", "value")
+    return _pred(spark, d).where("prediction_type = 'tm' and value is not null").select("prediction_id", "sequence_id", "value").distinct()
 
 
 _TM = f"with {P}, t as (select prediction_id, sequence_id, value from p where prediction_type = 'tm' and value is not null)"
@@ -490,7 +486,7 @@ def mutation_count(spark, d):
 
 @query(f"with {P} select prediction_id, json_extract_string(metadata, '$.status') as status, cast(json_extract_string(metadata, '$.ms') as double) as ms from p where metadata is not null")
 def json_extract(spark, d):
-    return _pred(spark, d).where("metadata is not null").select("prediction_id", extract.at_path("metadata", "status").alias("status"), extract.scalar("metadata", "ms").alias("ms"))
+    return _pred(spark, d).where("metadata is not null").select("prediction_id", extract.at_path("metadata", "status").alias("status"), extract.scalar("metadata", "ms").alias("ms")).distinct()
 
 
 @query("select event_id, cast(json_extract_string(props, '$.k') as double) as k from events")

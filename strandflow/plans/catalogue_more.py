@@ -39,10 +39,10 @@ _PARTS = "parts as (select p_partkey as sequence_id, upper(regexp_replace(p_name
 _SAT = f"{_PARTS}, sat as (select sequence_id, i - 1 as sat_position, substr(sequence, i, 1) as sat_wt_aa, a as sat_mut_aa, left(sequence, i - 1) || a || substr(sequence, i + 1) as mutant from parts, unnest(range(1, length(sequence) + 1)) r(i), unnest(string_split('{bio.AMINO_ACIDS}', '')) x(a) where a <> substr(sequence, i, 1))"
 
 
-@query(f"with {_SAT} select sequence_id, count(*) as n, count(distinct mutant) as n_distinct, min(mutant) as least, max(mutant) as most, sum(sat_position) as positions from sat group by 1")
+@query(f"with {_SAT} select sequence_id, count(*) as n, min(mutant) as least, max(mutant) as most, sum(sat_position) as positions from sat group by 1")
 def saturation_mutants(spark, d):
     m = generate.saturation_mutants(_parts(spark, d))
-    return m.groupBy("sequence_id").agg(F.count("*").alias("n"), F.count_distinct("mutant").alias("n_distinct"), F.min("mutant").alias("least"), F.max("mutant").alias("most"), F.sum("sat_position").alias("positions"))
+    return m.groupBy("sequence_id").agg(F.count("*").alias("n"), F.min("mutant").alias("least"), F.max("mutant").alias("most"), F.sum("sat_position").alias("positions"))
 
 
 @query(f"with {_SAT} select sequence_id, sat_position, sat_wt_aa, sat_mut_aa, mutant, round(length(replace(mutant, 'A', '')) * 1.0 + sat_position / 100.0, 6) as score from sat order by length(replace(mutant, 'A', '')) + sat_position / 100.0 desc, sat_position, sat_mut_aa, sequence_id limit 50".replace("left(sequence, i - 1)", "left(sequence, i - 1)"))
