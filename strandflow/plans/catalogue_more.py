@@ -39,7 +39,7 @@ _PARTS = "parts as (select p_partkey as sequence_id, upper(regexp_replace(p_name
 _SAT = f"{_PARTS}, sat as (select sequence_id, i - 1 as sat_position, substr(sequence, i, 1) as sat_wt_aa, a as sat_mut_aa, left(sequence, i - 1) || a || substr(sequence, i + 1) as mutant from parts, unnest(range(1, length(sequence) + 1)) r(i), unnest(string_split('{bio.AMINO_ACIDS}', '')) x(a) where a <> substr(sequence, i, 1))"
 
 
-@query(f"with {_SAT} select sequence_id, count(*) as n, min(mutant) as least, max(mutant) as most, sum(sat_position) as positions from sat group by 1")
+@query(f"with {_SAT} select sequence_id, count(*) as n, min(mutant) as least, max(mutant) as most, cast(sum(sat_position) as bigint) as positions from sat group by 1")
 def saturation_mutants(spark, d):
     m = generate.saturation_mutants(_parts(spark, d))
     return m.groupBy("sequence_id").agg(F.count("*").alias("n"), F.min("mutant").alias("least"), F.max("mutant").alias("most"), F.sum("sat_position").alias("positions"))
@@ -53,7 +53,7 @@ def saturation_top(spark, d):
     return m.orderBy(F.desc("score"), "sat_position", "sat_mut_aa", "sequence_id").limit(50).withColumn("score", F.round("score", 6))
 
 
-@query("select n_nationkey, p, q from nation, unnest([0, 2]) a(p), unnest(range(0, length(n_name))) b(q) where p <> q")
+@query("select n_nationkey, cast(p as bigint) as p, q from nation, unnest([0, 2]) a(p), unnest(range(0, length(n_name))) b(q) where p <> q")
 def two_point_positions(spark, d):
     n = read_table(spark, d, "nation").select("n_nationkey", F.explode(generate.position_pairs(F.length("n_name"), [0, 2])).alias("x"))
     return n.select("n_nationkey", F.col("x.p").cast("long").alias("p"), F.col("x.q").cast("long").alias("q"))
@@ -61,7 +61,7 @@ def two_point_positions(spark, d):
 
 @query("""with x as (select n_nationkey, n_name, p, q from nation, unnest([0, 1]) a(p), unnest(range(0, length(n_name))) b(q) where p <> q),
 f as (select *, list_transform(range(0, length(n_name)), lambda i: case when i = p then 'A' when i = q then 'C' else substr(n_name, i + 1, 1) end) l from x)
-select n_nationkey, array_to_string(l, '') as mutant, min((p, q))[1] as p, min((p, q))[2] as q from f group by 1, 2""")
+select n_nationkey, array_to_string(l, '') as mutant, cast(min((p, q))[1] as bigint) as p, cast(min((p, q))[2] as bigint) as q from f group by 1, 2""")
 def two_point_mutants(spark, d):
     n = read_table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("sequence"))
     m = generate.two_point_mutants(n, [0, 1], lambda x: x.withColumn("aa1", F.lit("A")).withColumn("aa2", F.lit("C")), "n_nationkey")
