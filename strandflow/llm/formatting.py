@@ -35,6 +35,15 @@ def _places(digest: pa.Array, bits: int) -> np.ndarray:
     return (words[:, :HASHES] % np.uint64(bits)).astype(np.int64)
 
 
+def _set(bitmap: np.ndarray, at: np.ndarray) -> None:
+    at = at.reshape(-1)
+    np.bitwise_or.at(bitmap, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+
+
+def _all_set(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return ((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(1)
+
+
 def repeat_filter(digests: DataFrame, bits: int) -> bytes:
     """Bits of a Bloom filter of the digests (column h) that may occur more than once.
 
@@ -45,20 +54,18 @@ def repeat_filter(digests: DataFrame, bits: int) -> bytes:
     n = bits // 8
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, again = np.zeros(bits, bool), np.zeros(bits, bool)
+        once, again = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
         for batch in batches:
             if not batch.num_rows:
                 continue
             at = _places(batch.column(0), bits)
-            order = np.lexsort(at.T)
-            at = at[order]
+            at = at[np.lexsort(at.T)]
             same = np.concatenate([[False], (at[1:] == at[:-1]).all(1)])
-            again[at[same | once[at].all(1)].reshape(-1)] = True
-            once[at.reshape(-1)] = True
-        a, b = np.packbits(once), np.packbits(again)
+            _set(again, at[same | _all_set(once, at)])
+            _set(once, at)
         for k in range(0, n, SLICE):
-            if a[k : k + SLICE].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([a[k : k + SLICE].tobytes()], pa.binary()), pa.array([b[k : k + SLICE].tobytes()], pa.binary())], names=["at", "once", "again"])
+            if once[k : k + SLICE].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([once[k : k + SLICE].tobytes()], pa.binary()), pa.array([again[k : k + SLICE].tobytes()], pa.binary())], names=["at", "once", "again"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, once, again = None, None, None  # the slices come sorted, so one is open at a time
@@ -106,7 +113,7 @@ def format_copies(df: DataFrame, id_col: str = "sequence_id", text_col: str = "s
             if not batch.num_rows:
                 continue
             at = _places(batch.column(1), bits)
-            hit = ((mask[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(1)
+            hit = _all_set(mask, at)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h if y else None for h, y in zip(batch.column(1).to_pylist(), hit)], pa.binary())], names=["id", "h"])
 
     flagged = rows.mapInArrow(flag, "id long, h binary")
