@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..session import staged
 from . import letters as L
-from .pairs import LEADERS, pair_runs, prefix_pairs, verified
+from .pairs import LEADERS, few_pairs, pair_runs, prefix_pairs, verified
 
 SLOTS, CHUNK, ERRORS, BITS = 24, 3, 1, 32
 
@@ -78,14 +78,15 @@ def near_groups(df: DataFrame, id_col: str = "sequence_id", text_col: str = "seq
        defaults a pair of similarity 0.5 shares no key with probability 0.004, of 0.6 with 0.0002).
     3. Candidates are checked exactly, and components of the links found.
     4. A key shared by more than ``leaders`` texts gives only pairs with its leaders. Its members that then
-       are in different components are compared through their rare windows (``prefix_pairs``), so that no
-       link is lost and none is made between records that are already together.
+       are in different components are compared with each other, or, where those are many pairs, through
+       their rare windows (``prefix_pairs``): no link is lost, and none is made between records that are
+       already together.
 
     Null texts, and texts with fewer than 8 letters, are in no group; rows with a null id are left out;
     a repeated id counts once; an empty table gives no rows. Other columns are not looked at.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), L.letters(F.col(text_col)).alias("letters")).where(F.col("id").isNotNull() & (F.length("letters") >= L.WINDOW))
-    texts = rows.groupBy("letters").agg(F.min("id").alias("id"))
+    texts = staged(rows.groupBy("letters").agg(F.min("id").alias("id")), "texts")
     runs = staged(pair_runs(signature_keys(texts, **sign), leaders), "runs")
     pairs = runs.where("kind = 0").select("a", "b").where("a <> b").distinct()
     links = staged(verified(pairs, texts, at_least), "links")
@@ -94,12 +95,19 @@ def near_groups(df: DataFrame, id_col: str = "sequence_id", text_col: str = "seq
     if not long_runs.isEmpty():
         found = staged(found, "found")
         member = long_runs.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        split = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        m = staged(member.join(split, "key", "left_semi").select("id", "component").distinct(), "split")
-        some = texts.join(m.select("id"), "id", "left_semi").select("id", "letters")
-        rest = prefix_pairs(some, some, at_least).where("a < b")
-        apart = rest.join(m.toDF("a", "ca"), "a").join(m.toDF("b", "cb"), "b").where("ca <> cb").select("a", "b")
-        rest = apart.join(pairs, ["a", "b"], "left_anti")
+        # Of each key the largest component is the main one; its other members are what is left to compare.
+        parts = staged(member.groupBy("key", "component").agg(F.count("*").alias("n")), "parts")
+        main = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("k")).where("k > 1")
+        m = staged(member.join(main, "key"), "split")
+        strays = m.where("component <> main")
+        a, b = m.select("key", F.col("id").alias("a"), F.col("component").alias("ca")), strays.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
+        if few_pairs(strays.agg(F.sum("size")), m):
+            rest = a.join(b, "key").where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        else:
+            some = texts.join(m.select("id"), "id", "left_semi").select("id", "letters")
+            ids = m.select("id", "component").distinct()
+            rest = prefix_pairs(some, some, at_least).where("a < b").join(ids.toDF("a", "ca"), "a").join(ids.toDF("b", "cb"), "b").where("ca <> cb").select("a", "b")
+        rest = rest.join(pairs, ["a", "b"], "left_anti")
         links = links.unionByName(verified(rest, texts, at_least))
         found = connected_components(links, "a", "b")
     found = staged(found, "found")

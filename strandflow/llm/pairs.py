@@ -90,6 +90,14 @@ def pair_runs(keyed: DataFrame, leaders: int = LEADERS) -> DataFrame:
     return keyed.select("key", "id").repartition("key").sortWithinPartitions("key", "id").mapInArrow(scan, RUNS)
 
 
+def few_pairs(pairs: DataFrame, members: DataFrame) -> bool:
+    """Whether the number of pairs left (one value) is of the order of what ``pair_runs`` gives for the members of long keys.
+
+    Both ways to compare them are exact; this only picks the cheaper one.
+    """
+    return (pairs.first()[0] or 0) <= LEADERS * members.count()
+
+
 def window_rows(texts: DataFrame) -> DataFrame:
     """(id, w): the distinct windows of texts (id, letters)."""
 
@@ -121,14 +129,19 @@ def prefix_pairs(left: DataFrame, right: DataFrame, at_least: float) -> DataFram
     return a.join(b, "w").where("a <> b").select("a", "b").distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, at_least: float) -> DataFrame:
-    """The pairs (a, b) whose texts have a window similarity of ``at_least``.
+def verified(pairs: DataFrame, texts: DataFrame, at_least: float, earlier: bool = False) -> DataFrame:
+    """The pairs (a, b) whose texts have a window similarity of ``at_least``; with ``earlier`` only those in which b came before a.
 
-    ``texts`` is (id, letters, ...). Both joins ask for the texts by id, so Spark shuffles them once and
-    reads that exchange twice; only the left text travels with the pairs.
+    ``texts`` is (id, letters), for ``earlier`` also ``at``; of equal times the smaller id came first. Both
+    joins ask for the texts by id, so Spark shuffles them once and reads that exchange twice; only the left
+    text travels with the pairs.
     """
-    t = texts.select("id", "letters")
-    joined = pairs.join(t.select(F.col("id").alias("a"), F.col("letters").alias("ta")), "a").join(t.select(F.col("id").alias("b"), F.col("letters").alias("tb")), "b").select("a", "b", "ta", "tb")
+    at = F.col("at") if earlier else F.lit(0).cast("long").alias("at")
+    t = texts.select("id", "letters", at)
+    left, right = t.toDF("a", "ta", "at_a"), t.toDF("b", "tb", "at_b")
+    joined = pairs.join(left, "a").join(right, "b")
+    if earlier:
+        joined = joined.where("at_b < at_a or (at_b = at_a and b < a)")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,5 +155,4 @@ def verified(pairs: DataFrame, texts: DataFrame, at_least: float) -> DataFrame:
                 keep[i] = L.similarity(x, y) >= at_least
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep))
 
-    return joined.mapInArrow(check, "a long, b long")
-
+    return joined.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
