@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandflow.llm import arrivals, near
 from strandflow.llm import letters as L
 from strandflow.llm.arrivals import SegmentIndex, repeats_since
 from strandflow.llm.formatting import format_copies, records
@@ -87,8 +88,10 @@ def groups_of(rows, at_least=0.5):
     return {(find(i), i) for i in ids if find(i) != i}
 
 
-@pytest.mark.parametrize("leaders", [64, 2])
-def test_near_groups_are_those_of_brute_force(spark, rows, leaders):
+@pytest.mark.parametrize(("leaders", "rare"), [(64, False), (2, False), (2, True)])
+def test_near_groups_are_those_of_brute_force(spark, rows, leaders, rare, monkeypatch):
+    if rare:
+        monkeypatch.setattr(near, "few_pairs", lambda *_: False)
     df = spark.createDataFrame(rows, SCHEMA)
     got = {tuple(r) for r in near_groups(df, leaders=leaders).where("group_id <> member_id").collect()}
     assert got == groups_of(rows)
@@ -133,8 +136,10 @@ def brute_repeats(rows, since):
     return {i for t, i, w in items if t >= since and any((u, j) < (t, i) and sim(w, v) >= 0.5 for u, j, v in items)}
 
 
-@pytest.mark.parametrize("leaders", [64, 2])
-def test_repeats_are_those_of_brute_force(spark, rows, leaders):
+@pytest.mark.parametrize(("leaders", "rare"), [(64, False), (2, False), (2, True)])
+def test_repeats_are_those_of_brute_force(spark, rows, leaders, rare, monkeypatch):
+    if rare:
+        monkeypatch.setattr(arrivals, "few_pairs", lambda *_: False)
     got = {r[0] for r in repeats_since(spark.createDataFrame(rows, SCHEMA), "2025-10-01", leaders=leaders).collect()}
     assert got == brute_repeats(rows, datetime(2025, 10, 1))
 
