@@ -31,10 +31,11 @@ def motif_diversity(df: DataFrame, k: int = 3, column: str = "sequence", top: in
     No k-mers give 0, 0, 0.0 and an empty list.
     """
     c = kmer_counts(df, k, column)
-    best = c.orderBy(F.desc("n"), "kmer").limit(top).agg(F.collect_list(F.struct("kmer", "n")).alias("l")).select(F.transform(F.array_sort("l", lambda a, b: F.when(a["n"] > b["n"], -1).when(a["n"] < b["n"], 1).when(a["kmer"] < b["kmer"], -1).otherwise(1)), lambda x: x).alias("most_common"))
+    best = c.orderBy(F.desc("n"), "kmer").limit(top).collect()
+    common = F.array(*[F.struct(F.lit(r["kmer"]).alias("kmer"), F.lit(r["n"]).alias("n")) for r in best]) if best else F.array().cast("array<struct<kmer:string,n:bigint>>")
     total = c.agg(F.count("*").alias("unique_kmers"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_kmers"))
-    total = total.withColumn("diversity_ratio", F.when(F.col("total_kmers") > 0, F.col("unique_kmers") / F.col("total_kmers")).otherwise(0.0))
-    return total.join(F.broadcast(best))  # one row each
+    ratio = F.when(F.col("total_kmers") > 0, F.col("unique_kmers") / F.col("total_kmers")).otherwise(0.0)
+    return total.select("unique_kmers", "total_kmers", ratio.alias("diversity_ratio"), common.alias("most_common"))
 
 
 def shannon_entropy(df: DataFrame, column: str = "sequence", normalize: bool = True) -> DataFrame:
@@ -55,10 +56,10 @@ def diversity_metrics(df: DataFrame, column: str = "sequence") -> DataFrame:
     """One row: n_sequences, n_unique, uniqueness_ratio, shannon_entropy, and motif diversity for k = 3 and 5."""
     base = df.agg(F.count("*").alias("n_sequences"), F.count_distinct(column).alias("n_unique"))
     base = base.withColumn("uniqueness_ratio", F.when(F.col("n_sequences") > 0, F.col("n_unique") / F.col("n_sequences")).otherwise(0.0))
-    out = base.join(F.broadcast(shannon_entropy(df, column)))
+    out = base.withColumn("shannon_entropy", F.lit(shannon_entropy(df, column).first()[0]))
     for k in (3, 5):
-        m = motif_diversity(df, k, column).select(F.col("unique_kmers").alias(f"unique_{k}mers"), F.col("total_kmers").alias(f"total_{k}mers"), F.col("diversity_ratio").alias(f"diversity_ratio_{k}mer"))
-        out = out.join(F.broadcast(m))
+        m = kmer_counts(df, k, column).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        out = out.withColumns({f"unique_{k}mers": F.lit(m[0]), f"total_{k}mers": F.lit(m[1]), f"diversity_ratio_{k}mer": F.lit(m[0] / m[1] if m[1] else 0.0)})
     return out
 
 
@@ -69,10 +70,12 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     """
     v = F.col(column).cast("double")
     rows = df.where(v.isNotNull() & ~F.isnan(v)).select(v.alias("v"))
-    lim = rows.agg(F.min("v").alias("a"), F.max("v").alias("b"))
-    width = (F.col("b") - F.col("a")) / bins
-    at = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("a")) / width), F.lit(bins - 1))).otherwise(0).cast("long")
-    return rows.join(F.broadcast(lim)).select(at.alias("bin"), (F.col("a") + at * width).alias("lo")).groupBy("bin", "lo").agg(F.count("*").alias("n"))
+    a, b = rows.agg(F.min("v"), F.max("v")).first()
+    if a is None:
+        return rows.select(F.lit(0).cast("long").alias("bin"), F.col("v").alias("lo"), F.lit(0).cast("long").alias("n")).limit(0)
+    width = (b - a) / bins
+    at = (F.least(F.floor((F.col("v") - F.lit(a)) / F.lit(width)), F.lit(bins - 1)) if width > 0 else F.lit(0)).cast("long")
+    return rows.select(at.alias("bin")).groupBy("bin").agg(F.count("*").alias("n")).select("bin", (F.lit(a) + F.col("bin") * F.lit(width)).alias("lo"), "n")
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -59,11 +59,6 @@ def _suspects(r: Reference, totals: DataFrame) -> DataFrame:
     return s.select("key", "n", gone.alias("gone"), "parent_at")
 
 
-def _split(s: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The suspects that are heavy (proven to be at most 1 / HEAVY_SHARE) and the rest."""
-    return s.where("heavy"), s.where("not heavy")
-
-
 def orphan_rows(r: Reference) -> DataFrame:
     """(ref_table, ref_field, row_id, period, reason), all text: every row whose reference has no parent.
 
@@ -72,19 +67,22 @@ def orphan_rows(r: Reference) -> DataFrame:
 
     References are pre-aggregated by key (map-side), and only keys that are absent or late for some row
     go on. Rows of heavy keys find them in a broadcast whose size is bounded, so that no key's rows meet
-    in one task; rows of other keys are joined by shuffle.
+    in one task; only rows of other keys are joined by shuffle.
 
     Null keys (and blank ones, of text keys) are no reference; a row without a time has period
     ``unknown`` and is never late; a parent key that occurs twice counts with its first time, one without
     any time is never late; empty tables give no rows.
     """
     rows = _rows(r)
-    totals = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("at").alias("first_at"))
-    s = _suspects(r, totals)
-    n = rows.count()
-    s = staged(s.withColumn("heavy", F.col("n") >= F.lit(max(1000.0, n * HEAVY_SHARE))), "suspects")
-    heavy, light = _split(s)
-    hit = rows.join(F.broadcast(heavy.select("key", "gone", "parent_at")), "key").unionByName(rows.join(light.select("key", "gone", "parent_at"), "key"))
+    totals = staged(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("at").alias("first_at")), "refs")
+    least = max(1000.0, (totals.agg(F.sum("n")).first()[0] or 0) * HEAVY_SHARE)
+    s = staged(_suspects(r, totals), "suspects")
+    found = ["key", "gone", "parent_at"]
+    # Heavy keys, whether suspect or sound, must not be shuffled: there are at most 1 / HEAVY_SHARE of them.
+    heavy = F.broadcast(totals.where(F.col("n") >= least).select("key"))
+    hot = rows.join(F.broadcast(s.where(F.col("n") >= least).select(*found)), "key")
+    cold = rows.join(heavy, "key", "left_anti").join(s.where(F.col("n") < least).select(*found), "key")
+    hit = hot.unionByName(cold)
     reason = F.coalesce("gone", F.when(F.col("parent_at") > F.col("at"), "late"))
     return hit.select(F.lit(r.name).alias("ref_table"), F.lit(r.field).alias("ref_field"), "row_id", "period", reason.alias("reason")).where("reason is not null").distinct()
 
@@ -100,9 +98,9 @@ def orphan_counts(r: Reference) -> DataFrame:
     pre = staged(rows.groupBy("key", "period").agg(F.count("*").alias("n"), F.count("at").alias("n_at"), F.min("at").alias("first_at"), F.max("at").alias("last_at")), "refs")
     total = pre.agg(F.sum("n")).first()[0] or 0
     s = _suspects(r, pre.groupBy("key").agg(F.sum("n").alias("n"), F.min("first_at").alias("first_at")))
-    s = staged(s.withColumn("heavy", F.col("n") >= F.lit(max(1000.0, total * HEAVY_SHARE))), "suspects")
-    heavy, light = _split(s.withColumnRenamed("n", "key_n"))
-    hit = pre.join(F.broadcast(heavy), "key").unionByName(pre.join(light, "key"))
+    s = staged(s.withColumnRenamed("n", "key_n"), "suspects")
+    heavy = F.col("key_n") >= max(1000.0, total * HEAVY_SHARE)
+    hit = pre.join(F.broadcast(s.where(heavy)), "key").unionByName(pre.join(s.where(~heavy), "key"))
     whole = hit.select("key", "period", "parent_at", F.coalesce("gone", F.when(F.col("parent_at") > F.col("last_at"), "late"), F.when(F.col("parent_at") > F.col("first_at"), "part")).alias("reason"), F.when(F.col("gone").isNotNull(), F.col("n")).otherwise(F.col("n_at")).alias("n")).where("reason is not null")
     part = whole.where("reason = 'part'").select("key", "period", "parent_at")
     late = rows.join(part, ["key", "period"]).where("parent_at > at").groupBy("period").agg(F.count("*").alias("n")).select("period", F.lit("late").alias("reason"), "n")

@@ -244,8 +244,8 @@ def semi_lookup(spark, d):
 @query("select sequence_id from sequences where hash = (select hash from sequences where sequence_id = (select min(sequence_id) from sequences where hash is not null))")
 def lookup_by_hash(spark, d):
     s = read_table(spark, d, "sequences")
-    one = s.where("hash is not null").agg(F.min_by("hash", "sequence_id").alias("hash"))
-    return s.join(F.broadcast(one), "hash").select("sequence_id")
+    one = s.where("hash is not null").agg(F.min_by("hash", "sequence_id")).first()[0]
+    return s.where(F.col("hash") == F.lit(one)).select("sequence_id")
 
 
 @query("select sequence_id, sequence from (select *, row_number() over (partition by sequence order by sequence_id) rn from sequences where sequence is not null) where rn = 1")

@@ -14,7 +14,7 @@ from ..operators import filters as flt
 from ..operators import relational as R
 from ..scoring import LocalScorer
 from ..session import read_table, shared_dir
-from ..sources import readers, writers
+from ..sources import readers, structures, writers
 from ..store import Store
 from ..streaming.runner import filter_stream, read_stream, score_stream
 from .catalogue import _LATEST, P, _pred
@@ -283,6 +283,14 @@ def json_round_trip(spark, d):
     return readers.read_json_rows(spark, out).select("doc_id", "text")
 
 
+@query("select vec_id, 1 as n_atoms, round(embedding[1]::double, 3) as x from embeddings")
+def structure_round_trip(spark, d):
+    e = read_table(spark, d, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x"))
+    line = F.format_string("ATOM      1  CA  MET A   1    %8.3f%8.3f%8.3f  1.00  0.00           C", "x", F.lit(0.0), F.lit(0.0))
+    back = e.select("vec_id", structures.to_pdb(structures.to_cif(F.concat(line, F.lit("\nEND\n")))).alias("t"))
+    return back.select("vec_id", F.size(F.regexp_extract_all("t", F.lit("(?m)^(ATOM)"), F.lit(1))).alias("n_atoms"), F.round(F.trim(F.substring("t", 31, 8)).cast("double"), 3).alias("x"))
+
+
 @query("select p_partkey as sequence_id, p_name as sequence from part")
 def frame_round_trip(spark, d):
     p = read_table(spark, d, "part").select(F.col("p_partkey").alias("sequence_id"), F.col("p_name").alias("sequence"))
@@ -320,12 +328,12 @@ def store_predictions(spark, d):
     return store.table("predictions").groupBy("prediction_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("select sequence, length(sequence) / 2 as score from (select distinct sequence from sequences where sequence is not null) where lower(trim(sequence)) not in ('', 'nan', 'none') and length(sequence) / 2 >= 100 order by score desc, sequence limit 5000")
+@query("select sequence, length(sequence) / 2 as score from (select distinct sequence from sequences where sequence is not null) where lower(trim(sequence)) not in ('', 'nan', 'none') and length(sequence) / 2 >= 100")
 def pipeline_run(spark, d):
     s = read_table(spark, d, "sequences").where("sequence is not null and sequence <> ''").select("sequence")
     p = Pipeline(spark, Store(spark, _folder(spark, "store")))
     p.predict("score", _scorer(), "score", skip_on_error=True).filter("long", flt.Threshold("score", min=100))
-    return p.run(s).select("sequence", "score").orderBy(F.desc("score"), "sequence").limit(5000)
+    return p.run(s).select("sequence", "score")
 
 
 @query(f"with {_LATEST} select count(*) as n_in, count(*) as n_cached from (select distinct sequence from sequences where sequence is not null and sequence <> '')")
