@@ -207,11 +207,11 @@ class Catalog:
         raise KeyError(key)
 
     def frame_path(self, key: str) -> str:
-        """The dataset's frame: attrs.seqframe_path, or its only Parquet file or folder."""
+        """The dataset's frame: attrs.frame_path, or its only Parquet file or folder."""
         e = self.get(key)
-        if p := e["attrs"].get("seqframe_path"):
+        if p := e["attrs"].get("frame_path"):
             return str(Path(e["path"], p))
         found = sorted(Path(e["path"]).glob("*.parquet"))
         if len(found) != 1:
-            raise ValueError(f"dataset {key!r} has {len(found)} Parquet files; name one in attrs.seqframe_path")
+            raise ValueError(f"dataset {key!r} has {len(found)} Parquet files; name one in attrs.frame_path")
         return str(found[0])

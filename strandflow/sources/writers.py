@@ -62,5 +62,5 @@ def write_dataset(df: DataFrame, root: str, dataset_id: str, kind: str = "sequen
         raise FileExistsError(str(folder))
     folder.mkdir(parents=True, exist_ok=True)
     df.write.mode("overwrite" if force else "errorifexists").parquet(str(folder / "frame.parquet"))
-    (folder / "dataset.yaml").write_text(json.dumps({"id": dataset_id, "type": kind, "tags": tags or [], "attrs": {"seqframe_path": "frame.parquet"}}, indent=1))
+    (folder / "dataset.yaml").write_text(json.dumps({"id": dataset_id, "type": kind, "tags": tags or [], "attrs": {"frame_path": "frame.parquet"}}, indent=1))
     return str(folder)

@@ -8,8 +8,9 @@ from strandflow.functions import bio, extract, vectors
 
 
 def one(spark, column, **values):
-    df = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {'string' if isinstance(v, (str, type(None))) else 'array<double>' if isinstance(v, list) else 'double'}" for k, v in values.items()))
-    return df.select(column.alias("x")).first()[0]
+    kind = lambda v: "string" if isinstance(v, (str, type(None))) else "array<double>" if isinstance(v, list) else "double"
+    lit = lambda v: F.array(*[F.lit(x) for x in v]) if isinstance(v, list) else F.lit(v)
+    return spark.range(1).select(*[lit(v).cast(kind(v)).alias(k) for k, v in values.items()]).select(column.alias("x")).first()[0]
 
 
 @pytest.mark.parametrize(("s", "kind"), [("ATCG", "dna"), ("aucg", "rna"), ("MKLLIV", "protein"), ("MK1", "unknown"), ("", "dna"), ("AC:GT", "dna"), (None, None), ("MK*", "protein")])
