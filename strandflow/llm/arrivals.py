@@ -96,8 +96,9 @@ _CAND = "kind int, key long, a long, b long"
 def candidates(stored: DataFrame, probes: DataFrame, leaders: int = LEADERS) -> DataFrame:
     """Kind 0: (probe a, stored b) with a key in common, b among the first ``leaders`` of the key.
 
-    A key with more stored texts pairs each probe with some of them, and also gives kind 1 rows (key, probe
-    a) and kind 2 rows (key, further stored b). Sorting is Spark's; the scan holds one batch and ``leaders`` ids.
+    A key with more stored texts pairs each probe with the first ``FEW`` only, and also gives kind 1 rows (key,
+    probe a) and kind 2 rows (key, every other stored b). Sorting is Spark's; the scan holds one batch and
+    ``leaders`` ids.
     """
     both = stored.select("key", F.col("id"), F.lit(0).alias("probe")).unionByName(probes.select("key", "id", F.lit(1).alias("probe")))
 
@@ -135,8 +136,9 @@ def candidates(stored: DataFrame, probes: DataFrame, leaders: int = LEADERS) ->
                 mine = np.concatenate([carried, ids[s : min(p, s + room)]])
                 late = ids[min(p, s + room) : p]
                 has = had or len(late) > 0
-                if len(late):
-                    yield out(2, np.full(len(late), k), late, late)
+                if len(late):  # once a key is long, its leaders after the first few are left open as well
+                    rest = late if had else np.concatenate([mine[FEW:], late])
+                    yield out(2, np.full(len(rest), k), rest, rest)
                 if e > p and len(mine):
                     met = mine[:FEW] if has else mine
                     for at in range(p, e, 4096):

@@ -144,6 +144,37 @@ def test_repeats_are_those_of_brute_force(spark, rows, leaders, rare, monkeypatc
     assert got == brute_repeats(rows, datetime(2025, 10, 1))
 
 
+@pytest.mark.parametrize("batch", [10000, 7])
+def test_long_keys_leave_no_stored_text_out(spark, batch):
+    stored = spark.createDataFrame([(1, i) for i in range(60)] + [(2, i) for i in range(16)], "key long, id long")
+    probes = spark.createDataFrame([(k, i) for k in (1, 2) for i in (100, 101)], "key long, id long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)  # 7: the key becomes long in its third batch
+    try:
+        rows = [(r["kind"], r["key"], r["a"], r["b"]) for r in arrivals.candidates(stored, probes, leaders=16).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted((a, b) for kind, key, a, b in rows if (kind, key) == (0, 1)) == [(a, b) for a in (100, 101) for b in range(FEW)]
+    assert sorted(b for kind, key, _, b in rows if (kind, key) == (2, 1)) == list(range(FEW, 60))
+    assert sorted((a, b) for kind, key, a, b in rows if key == 2) == [(a, b) for a in (100, 101) for b in range(16)]
+
+
+def test_a_repeat_of_a_leader_of_long_keys_is_found(spark, tmp_path):
+    rng = random.Random(2)
+    at, new = datetime(2025, 9, 1), datetime(2025, 10, 2)
+    x, y = text(rng, 60), text(rng, 60)
+    # 60 texts hold x and 60 hold y in the same places; the one that holds both comes thirteenth in all keys it shares.
+    popular = [(i, x + text(rng, 60) if i % 2 else text(rng, 60) + y) for i in range(1, 121)]
+    history = [(i if i <= 24 else i + 1, s, at) for i, s in popular] + [(25, x + y, at)]
+    rows = [(*r, "x", 1, None, "y") for r in [*history, (500, y + x, new)]]
+    assert brute_repeats(rows, datetime(2025, 10, 1)) == {500}
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r[0] for r in repeats_since(df, "2025-10-01", leaders=16).collect()} == {500}
+    index = SegmentIndex(spark, str(tmp_path / "index"), leaders=16)
+    index.append(df.where("sequence_id < 500"))
+    assert {r[0] for r in index.check(df.where("sequence_id = 500")).collect()} == {500}
+
+
 def test_daily_batches_over_an_index_give_the_same(spark, rows, tmp_path):
     df = spark.createDataFrame(rows, SCHEMA).where("created_at is not null and sequence_id is not null")
     cut = F.lit("2025-10-01").cast("timestamp_ntz")
