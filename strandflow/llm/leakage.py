@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -12,10 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import staged
 from .tokens import words
 
 SPAN = 13
 MIN_LITERAL = 6
+RARE = 0.01  # a word in at most this share of all documents and items may be a name
 BLOCK_CHARS = 32_000_000  # of item text that is sent to the executors at once
 # Units of measure, as words.
 UNITS = frozenset("""
@@ -32,7 +34,7 @@ UNITS = frozenset("""
 _NUMBER = re.compile(r"\d+")
 _CODE = re.compile(r"(?=.*\d)(?=.*[^\W\d_]).+")
 # Endings of made-up substance, tool and protein names; a word that merely looks like one only makes a template wider.
-_NAME = re.compile(r".{3,}(?:in|ase|gen|some|mer|drix|dyne|ora|plex|scan|watch|net|sor|vix|ome)")
+_NAME = re.compile(r".{3,}(?:in|ase|gen|some|mer|drix|dyne|ora|plex|scan|watch|net|sor|vix|ome|mab)")
 KINDS = ("number", "code", "unit", "name")
 _MASK = (1 << 64) - 1
 _P = np.uint64(0x100000001B3)
@@ -60,26 +62,63 @@ def _hash(word: str) -> int:
     return (h * 0x9E3779B97F4A7C15) & _MASK
 
 
+def common_words(texts: DataFrame, share: float = RARE) -> frozenset[str]:
+    """The words that stand in more than ``share`` of the texts (one column), counted over all of them.
+
+    There are at most (distinct words a text) / ``share`` of these, so the driver can hold them.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+
+        seen: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                seen[""] += 1  # no word is empty: this counts the texts
+                seen.update(set(words(text)))
+                if len(seen) > 200_000:
+                    yield out()
+                    seen = Counter()
+        if seen:
+            yield out()
+
+    counted = staged(texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    total = counted.where("word = ''").first()
+    return frozenset(r[0] for r in counted.where((F.col("n") > share * total["n"]) & (F.col("word") != "")).select("word").collect()) if total else frozenset()
+
+
+def _kind(word: str, common: frozenset[str] | None) -> int | None:
+    """``slot_kind``, where a literal that isn't ``common`` is a name as well (None: all words are common)."""
+    kind = slot_kind(word)
+    return 3 if kind is None and common is not None and word not in common else kind
+
+
 class Vocabulary(dict):
-    """word -> number, with a hash of the word and of its placeholder for each number; emptied when large."""
+    """word -> number, with a hash of the word and of its placeholder for each number; emptied when large.
 
-    def __init__(self, most: int = 1_000_000):
+    ``template`` and ``literal`` go by ``slot_kind``, ``wide`` and ``wide_literal`` take rare words as names too.
+    """
+
+    def __init__(self, common: frozenset[str] | None = None, most: int = 1_000_000):
         super().__init__()
-        self.most = most
+        self.common, self.most = common, most
         self.reset()
 
     def reset(self) -> None:
         self.clear()
-        self.exact, self.template, self.literal = (np.zeros(1 << 12, t) for t in (np.uint64, np.uint64, bool))
+        self.exact, self.template, self.literal, self.wide, self.wide_literal = (np.zeros(1 << 12, t) for t in (np.uint64, np.uint64, bool, np.uint64, bool))
 
     def __missing__(self, word: str) -> int:
         n = len(self)
         if n == len(self.exact):
-            self.exact, self.template, self.literal = (np.concatenate([x, np.zeros_like(x)]) for x in (self.exact, self.template, self.literal))
-        kind = slot_kind(word)
+            self.exact, self.template, self.literal, self.wide, self.wide_literal = (np.concatenate([x, np.zeros_like(x)]) for x in (self.exact, self.template, self.literal, self.wide, self.wide_literal))
+        kind, wide = slot_kind(word), _kind(word, self.common)
         self.exact[n] = _hash(word)
         self.template[n] = self.exact[n] if kind is None else _hash(f"<{KINDS[kind]}>")
         self.literal[n] = kind is None
+        self.wide[n] = self.exact[n] if wide is None else _hash(f"<{KINDS[wide]}>")
+        self.wide_literal[n] = wide is None
         self[word] = n
         return n
 
@@ -112,11 +151,14 @@ class ItemIndex:
     template: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     exact: dict = field(default_factory=dict)  # exact hash -> [(item, place)]
     alike: dict = field(default_factory=dict)  # template hash -> [(item, place)], of windows with enough literals
+    wide: dict = field(default_factory=dict)  # the same with rare words as names
+    wide_template: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # the sorted hashes of ``wide``
+    common: frozenset[str] | None = None
 
     @classmethod
-    def of(cls, items: list[tuple], span: int, min_literal: int) -> ItemIndex:
-        out, vocab = cls(span, min_literal), Vocabulary()
-        exact, alike, seen = defaultdict(list), defaultdict(list), []
+    def of(cls, items: list[tuple], span: int, min_literal: int, common: frozenset[str] | None = None) -> ItemIndex:
+        out, vocab = cls(span, min_literal, common=common), Vocabulary(common)
+        exact, alike, wide, seen = defaultdict(list), defaultdict(list), defaultdict(list), []
         for item_id, text in items:
             ws = words(text)
             if len(ws) < span:
@@ -132,32 +174,39 @@ class ItemIndex:
                 exact[y].append((n, i))
                 if z >= min_literal:
                     alike[x].append((n, i))
+            if common is not None:
+                lit = np.convolve(vocab.wide_literal[no].astype(int), np.ones(span, int), "valid")
+                w = rolled(vocab.wide[no], span).tolist()
+                for i in np.flatnonzero(lit >= min_literal).tolist():
+                    wide[w[i]].append((n, i))
         out.template = np.unique(np.concatenate(seen)) if seen else out.template
-        out.exact, out.alike = dict(exact), dict(alike)
+        out.exact, out.alike, out.wide = dict(exact), dict(alike), dict(wide)
+        out.wide_template = np.array(sorted(wide), np.uint64)
         return out
 
-    def hits(self, t: np.ndarray) -> np.ndarray:
-        """Places of a document whose template hash some item has."""
-        if not len(self.template) or not len(t):
+    @staticmethod
+    def hits(template: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """Places of a document whose template hash is among the sorted ones of the items."""
+        if not len(template) or not len(t):
             return np.zeros(0, np.int64)
-        k = np.searchsorted(self.template, t)
-        k[k == len(self.template)] = 0
-        return np.flatnonzero(self.template[k] == t)
+        k = np.searchsorted(template, t)
+        k[k == len(template)] = 0
+        return np.flatnonzero(template[k] == t)
 
 
-def _consistent(doc: list[str], item: list[str], span: int, at: list[tuple[int, int]]) -> bool:
+def _consistent(doc: list[str], item: list[str], span: int, at: Iterable[tuple[int, int]], common: frozenset[str] | None) -> bool:
     """Over all windows that match, each slot value of the item stands for one value of the document and the reverse, kind by kind."""
     there: dict[tuple[int, str], str] = {}
     back: dict[tuple[int, str], str] = {}
     for d, i in at:
         for x, y in zip(doc[d : d + span], item[i : i + span]):
-            kind = slot_kind(y)
+            kind = _kind(y, common)
             if kind is not None and (there.setdefault((kind, y), x) != x or back.setdefault((kind, x), y) != y):
                 return False
     return True
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "item_text", span: int = SPAN, min_literal: int = MIN_LITERAL, templates: bool = True, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "item_text", span: int = SPAN, min_literal: int = MIN_LITERAL, templates: bool = True, block_chars: int = BLOCK_CHARS, rare: float = RARE) -> DataFrame:
     """(id, item, exact_windows, template_windows, consistent) for each document and item with a window in common.
 
     Words become typed placeholders where they are numbers, codes (letters with digits), units or names;
@@ -167,6 +216,11 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     them each slot value was replaced in one way, as in a re-parameterised question. ``templates=False``
     leaves these out.
 
+    Names are words with the endings of ``slot_kind``, and in a second template also all words that stand in
+    at most the share ``rare`` of documents and items together; a window counts if it matches in either, so
+    a literal that happens to be rare loses no window of the first. A name that is neither rare nor ends so
+    stays a literal. In a few texts (fewer than 1 / ``rare``) no word is rare.
+
     Items are the query set: they are sent in blocks of bounded size (by hash of the id, as many as their
     text needs), each block against all documents, which are read whole and never shuffled.
 
@@ -180,13 +234,15 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     ids = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, item {items.schema[item_col].dataType.simpleString()}, exact_windows long, template_windows long, consistent boolean"
     item_type = pa.string() if "item string" in schema else pa.int64()
+    common = common_words(ids.select("text").unionByName(it.select(F.col("t").alias("text"))), rare) if templates else None
     out = None
     for b in range(blocks):
         part = it.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
-        index = spark.sparkContext.broadcast(ItemIndex.of([tuple(r) for r in part.toLocalIterator()], span, min_literal))
+        index = spark.sparkContext.broadcast(ItemIndex.of([tuple(r) for r in part.toLocalIterator()], span, min_literal, common))
 
         def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            ix, vocab = index.value, Vocabulary()
+            ix = index.value
+            vocab = Vocabulary(ix.common)
             for batch in batches:
                 rows, which = [], []
                 for r, text in enumerate(batch.column(1).to_pylist()):
@@ -195,10 +251,12 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
                         continue
                     no = vocab.numbers(ws)
                     t = rolled(vocab.template[no], span)
-                    at = ix.hits(t)
-                    if not len(at):
+                    at = ix.hits(ix.template, t)
+                    w = rolled(vocab.wide[no], span) if templates else t[:0]
+                    at_wide = ix.hits(ix.wide_template, w)
+                    if not len(at) and not len(at_wide):
                         continue
-                    exact, alike = defaultdict(int), defaultdict(list)
+                    exact, alike = defaultdict(int), defaultdict(set)
                     e = vocab.exact[no]
                     for i in at.tolist():
                         own = set()
@@ -208,11 +266,14 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
                                 exact[n] += 1
                         if templates:
                             for n, k in ix.alike.get(int(t[i]), ()):
-                                alike[n].append((i, k))
+                                alike[n].add((i, k))
+                    for i in at_wide.tolist():
+                        for n, k in ix.wide[int(w[i])]:
+                            alike[n].add((i, k))
                     for n in sorted({*exact, *alike}):
                         which.append(r)
                         places = {d for d, _ in alike.get(n, ())}
-                        rows.append((ix.ids[n], exact.get(n, 0), max(0, len(places) - exact.get(n, 0)), _consistent(ws, ix.words[n], span, alike.get(n, []))))
+                        rows.append((ix.ids[n], exact.get(n, 0), max(0, len(places) - exact.get(n, 0)), _consistent(ws, ix.words[n], span, alike.get(n, ()), ix.common)))
                 if rows:
                     item, x, y, z = zip(*rows)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), pa.array(item, item_type), pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(z)], names=["id", "item", "exact_windows", "template_windows", "consistent"])

@@ -240,6 +240,23 @@ def test_reparameterised_questions_are_told_from_inconsistent_ones(spark):
     assert got[3]["exact_windows"] > 0 and got[3]["template_windows"] == 0
 
 
+def test_names_without_a_known_ending_are_found_by_their_rarity(spark):
+    q = "given {a} copies of {n} per cell and a loss of {b} percent per hour how many of them until fewer than {c} copies of {n} remain in the dish"
+    names = ("Paderborn", "Timbuktu", "Kovacs", "serramab", "photimab")
+    assert [slot_kind(n.lower()) for n in names] == [None, None, None, 3, 3]
+    item, other = q.format(a=314, n="Paderborn", b=62, c=617), q.format(a=31, n="serramab", b=2, c=61)
+    plain = [(i, " ".join(sorted(q.split(), reverse=True))) for i in range(300)]  # the other words are common
+    docs = [(900, q.format(a=9, n="Timbuktu", b=5, c=88)), (901, q.format(a=9, n="Timbuktu", b=5, c=88)[::-1].replace("Timbuktu"[::-1], "Kovacs"[::-1], 1)[::-1]), (902, q.format(a=1, n="photimab", b=3, c=7))]
+    d = spark.createDataFrame([*plain, *docs], "doc_id long, text string")
+    i = spark.createDataFrame([("q", item), ("m", other)], "item_id string, item_text string")
+    for chars in (32_000_000, 50):  # in one block, and in several
+        got = {(r["id"], r["item"]): r for r in leaks(d, i, block_chars=chars).collect()}
+        assert set(got) == {(k, m) for k in (900, 901, 902) for m in ("q", "m")}
+        n = len(words(item)) - 12
+        assert all(r["exact_windows"] == 0 and r["template_windows"] == n for r in got.values())
+        assert {k for k, r in got.items() if not r["consistent"]} == {(901, "q"), (901, "m")}
+
+
 def test_slot_kinds():
     assert [slot_kind(w) for w in ("12", "f389d", "kda", "zeldapin", "loop")] == [0, 1, 2, 3, None]
 
