@@ -256,14 +256,12 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
                     at_wide = ix.hits(ix.wide_template, w)
                     if not len(at) and not len(at_wide):
                         continue
-                    exact, alike = defaultdict(int), defaultdict(set)
+                    exact, alike = defaultdict(set), defaultdict(set)  # by item: places in the document, (place, place in the item)
                     e = vocab.exact[no]
                     for i in at.tolist():
-                        own = set()
                         for n, k in ix.exact.get(int(rolled(e[i : i + span], span)[0]), ()):
-                            if n not in own and ix.words[n][k : k + span] == ws[i : i + span]:
-                                own.add(n)
-                                exact[n] += 1
+                            if i not in exact.get(n, ()) and ix.words[n][k : k + span] == ws[i : i + span]:
+                                exact[n].add(i)
                         if templates:
                             for n, k in ix.alike.get(int(t[i]), ()):
                                 alike[n].add((i, k))
@@ -272,8 +270,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
                             alike[n].add((i, k))
                     for n in sorted({*exact, *alike}):
                         which.append(r)
-                        places = {d for d, _ in alike.get(n, ())}
-                        rows.append((ix.ids[n], exact.get(n, 0), max(0, len(places) - exact.get(n, 0)), _consistent(ws, ix.words[n], span, alike.get(n, ()), ix.common)))
+                        own, places = exact.get(n, set()), {d for d, _ in alike.get(n, ())}
+                        rows.append((ix.ids[n], len(own), len(places - own), _consistent(ws, ix.words[n], span, alike.get(n, ()), ix.common)))
                 if rows:
                     item, x, y, z = zip(*rows)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), pa.array(item, item_type), pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(z)], names=["id", "item", "exact_windows", "template_windows", "consistent"])

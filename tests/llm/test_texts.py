@@ -257,6 +257,17 @@ def test_names_without_a_known_ending_are_found_by_their_rarity(spark):
         assert {k for k, r in got.items() if not r["consistent"]} == {(901, "q"), (901, "m")}
 
 
+def test_exact_windows_rich_in_slots_take_nothing_from_the_templates(spark):
+    rich = " ".join(f"{k} zeldapin {k + 50} percent" for k in range(4))  # 4 windows of 13 words, none with a literal
+    q = " the loop of {n} between {a} and {b} was rebuilt by hand before the model scored it with care"
+    item, doc = rich + q.format(n="zeldapin", a=4, b=9), rich + " but" + q.format(n="korgelin", a=5, b=8)
+    d = spark.createDataFrame([(1, doc)], "doc_id long, text string")
+    i = spark.createDataFrame([("q", item)], "item_id string, item_text string")
+    (r,) = leaks(d, i).collect()
+    n = len(words(q.format(n="korgelin", a=5, b=8)))
+    assert (r["exact_windows"], r["template_windows"]) == (4, n - 12)
+
+
 def test_slot_kinds():
     assert [slot_kind(w) for w in ("12", "f389d", "kda", "zeldapin", "loop")] == [0, 1, 2, 3, None]
 
