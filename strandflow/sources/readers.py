@@ -138,12 +138,12 @@ def read_results(spark: SparkSession, source: Any) -> DataFrame:
     return spark.read.json(str(source))
 
 
-def lab_rows(df: DataFrame, records: str = "records") -> DataFrame:
+def lab_rows(df: DataFrame, records: str = "records", max_keys: int = 5000) -> DataFrame:
     """Lab result records, one JSON text per row, as a wide frame.
 
     Each record's entity id (or its construct name) becomes id; its representation, if it differs from the
     id, the sequence; tags, metrics and parameters become columns tag_*, metric_* and param_*. The keys
-    are discovered first, as a frame needs fixed columns.
+    are discovered first, as a frame needs fixed columns; more than ``max_keys`` of one kind raise ValueError.
     """
     schema = "array<struct<entity:struct<entity_id:string,type:string,representation:string>,tags:map<string,string>,metrics:map<string,double>,parameters:map<string,string>>>"
     r = df.select(F.explode(F.from_json(records, schema)).alias("r")).select("r.*")
@@ -151,14 +151,16 @@ def lab_rows(df: DataFrame, records: str = "records") -> DataFrame:
     rep = F.col("entity.representation")
     cols = [rid.alias("id"), F.when(rep.isNotNull() & (rep != rid) & (rep != ""), rep).otherwise(rid).alias("sequence"), F.col("entity.type").alias("entity_type")]
     for field, prefix in (("tags", "tag_"), ("metrics", "metric_"), ("parameters", "param_")):
-        keys = sorted(x[0] for x in r.select(F.explode(F.map_keys(field)).alias("k")).distinct().limit(5000).collect())
+        keys = sorted(x[0] for x in r.select(F.explode(F.map_keys(field)).alias("k")).distinct().limit(max_keys + 1).collect())
+        if len(keys) > max_keys:
+            raise ValueError(f"more than {max_keys} keys in {field}: raise max_keys or read in parts")
         cols += [F.col(field)[k].alias(prefix + k) for k in keys]
     return r.select(*cols)
 
 
 def lab_molecule_type(df: DataFrame) -> str:
     """The molecule type that the records' entity types imply."""
-    kinds = {r[0] for r in df.select("entity_type").distinct().limit(1000).collect()}
+    kinds = {r[0] for r in df.select("entity_type").where(F.col("entity_type").isin("dna_sequence", "protein", "aa_sequence")).distinct().collect()}
     return "dna" if "dna_sequence" in kinds else "protein" if kinds & {"protein", "aa_sequence"} else "unknown"
 
 

@@ -146,3 +146,19 @@ def test_guards():
     for f, bad in ((check_name, "a b"), (check_name, "1a"), (check_expression, "a; b"), (check_expression, "DROP x"), (check_expression, "a -- b"), (check_select, "delete from x")):
         with pytest.raises(ValueError):
             f(bad)
+
+
+def test_lab_rows_refuse_more_keys_than_the_limit(spark):
+    rec = [{"entity": {"entity_id": "e"}, "tags": {}, "metrics": {f"m{k}": 1.0 for k in range(21)}, "parameters": {}}]
+    df = spark.createDataFrame([(json.dumps(rec),)], "records string")
+    assert len([c for c in readers.lab_rows(df, max_keys=21).columns if c.startswith("metric_")]) == 21
+    with pytest.raises(ValueError, match="more than 20 keys in metrics"):
+        readers.lab_rows(df, max_keys=20)
+    types = spark.createDataFrame([(f"t{k}",) for k in range(3000)] + [("dna_sequence",)], "entity_type string")
+    assert readers.lab_molecule_type(types) == "dna"
+
+
+def test_lab_rows_drop_no_keys_silently(spark):
+    rec = [{"entity": {"entity_id": "e"}, "tags": {f"t{k}": "v" for k in range(5001)}, "metrics": {}, "parameters": {}}]
+    with pytest.raises(ValueError, match="more than 5000 keys in tags"):
+        readers.lab_rows(spark.createDataFrame([(json.dumps(rec),)], "records string"))
