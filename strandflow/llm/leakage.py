@@ -148,6 +148,7 @@ class ItemIndex:
     min_literal: int
     ids: list = field(default_factory=list)
     words: list[list[str]] = field(default_factory=list)
+    kinds: list[list[int | None]] = field(default_factory=list)  # of each word, rare ones being names
     template: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     exact: dict = field(default_factory=dict)  # exact hash -> [(item, place)]
     alike: dict = field(default_factory=dict)  # template hash -> [(item, place)], of windows with enough literals
@@ -166,6 +167,7 @@ class ItemIndex:
             n = len(out.ids)
             out.ids.append(item_id)
             out.words.append(ws)
+            out.kinds.append([_kind(w, common) for w in ws])
             no = vocab.numbers(ws)
             t, e = rolled(vocab.template[no], span), rolled(vocab.exact[no], span)
             lit = np.convolve(vocab.literal[no].astype(int), np.ones(span, int), "valid")
@@ -194,15 +196,14 @@ class ItemIndex:
         return np.flatnonzero(template[k] == t)
 
 
-def _consistent(doc: list[str], item: list[str], span: int, at: Iterable[tuple[int, int]], common: frozenset[str] | None) -> bool:
+def _consistent(doc: list[str], item: list[str], kinds: list[int | None], span: int, at: Iterable[tuple[int, int]]) -> bool:
     """Over all windows that match, each slot value of the item stands for one value of the document and the reverse, kind by kind."""
     there: dict[tuple[int, str], str] = {}
     back: dict[tuple[int, str], str] = {}
-    for d, i in at:
-        for x, y in zip(doc[d : d + span], item[i : i + span]):
-            kind = _kind(y, common)
-            if kind is not None and (there.setdefault((kind, y), x) != x or back.setdefault((kind, x), y) != y):
-                return False
+    for d, i in {(d + j, i + j) for d, i in at for j in range(span) if kinds[i + j] is not None}:  # windows overlap
+        kind, x, y = kinds[i], doc[d], item[i]
+        if there.setdefault((kind, y), x) != x or back.setdefault((kind, x), y) != y:
+            return False
     return True
 
 
@@ -271,7 +272,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
                     for n in sorted({*exact, *alike}):
                         which.append(r)
                         own, places = exact.get(n, set()), {d for d, _ in alike.get(n, ())}
-                        rows.append((ix.ids[n], len(own), len(places - own), _consistent(ws, ix.words[n], span, alike.get(n, ()), ix.common)))
+                        rows.append((ix.ids[n], len(own), len(places - own), _consistent(ws, ix.words[n], ix.kinds[n], span, alike.get(n, ()))))
                 if rows:
                     item, x, y, z = zip(*rows)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), pa.array(item, item_type), pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(z)], names=["id", "item", "exact_windows", "template_windows", "consistent"])
