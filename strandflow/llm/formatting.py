@@ -6,15 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import staged
+from . import bloom
 from . import letters as L
 
-HASHES = 4
-BITS_PER_ROW = 16
-MAX_BITS = 1 << 29  # 64 MB: what is sent to each executor never exceeds this
-SLICE = 1 << 15  # bytes of a filter that are merged together
+BITS_PER_ROW = 8  # a singleton then passes for a possible repeat with a probability of 0.003, and of 0.03 at most
+MAX_BITS = 1 << 29  # 64 MB of filter at once: more rows make more ranges of digests, each with a filter of its own
+PREFIX = 1 << 31  # ranges are cut from the first 31 bits of a digest
 
 
 def canonical(text: Column) -> Column:
@@ -27,96 +29,61 @@ def canonical(text: Column) -> Column:
     return F.array_join(F.array_sort(F.filter(F.split(kept, "[:/|;]+"), lambda c: F.length(c) > 0)), ":")
 
 
-def _places(digest: pa.Array, bits: int) -> np.ndarray:
-    """Bit numbers of each 32-byte digest, HASHES columns."""
-    if isinstance(digest, pa.ChunkedArray):
-        digest = digest.combine_chunks()
-    words = np.frombuffer(b"".join(digest.to_pylist()), np.uint64).reshape(-1, 4)
-    return (words[:, :HASHES] % np.uint64(bits)).astype(np.int64)
+def _digests(col: pa.Array) -> np.ndarray:
+    """The first 64 bits of each 32-byte digest of a column without nulls."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    _, off, data = col.buffers()
+    begin = int(np.frombuffer(off, np.int64 if pa.types.is_large_binary(col.type) else np.int32)[col.offset])
+    return np.frombuffer(data, np.uint64, count=len(col) * 4, offset=begin).reshape(-1, 4)[:, 0]
 
 
-def _set(bitmap: np.ndarray, at: np.ndarray) -> None:
-    at = at.reshape(-1)
-    np.bitwise_or.at(bitmap, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-
-
-def _all_set(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return ((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(1)
+def _flagged(rows: DataFrame, seen: bytearray, bits: int) -> DataFrame:
+    """(id, h): the digest stays where the filter says that it may occur again, and is null elsewhere. Staged, so that the filter can go."""
+    shared = rows.sparkSession.sparkContext.broadcast(bytes(seen))
 
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            if batch.num_rows:
+                hit = bloom.all_set(mask, bloom.places(_digests(batch.column(1)), bits))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pc.if_else(pa.array(hit), batch.column(1), pa.scalar(None, pa.binary()))], names=["id", "h"])
 
-def repeat_filter(digests: DataFrame, bits: int) -> bytes:
-    """Bits of a Bloom filter of the digests (column h) that may occur more than once.
+    out = staged(rows.select("id", "h").mapInArrow(flag, "id long, h binary"), "flagged")
+    shared.destroy()
+    return out
 
-    Each partition fills two filters, of what it saw once and of what it saw again; merged slice by
-    slice, a bit counts as seen again if it is so in one partition, or seen at all in two. A digest that
-    occurs twice has all its bits set; one that doesn't may have them by chance.
-    """
-    n = bits // 8
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, again = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            at = _places(batch.column(0), bits)
-            at = at[np.lexsort(at.T)]
-            same = np.concatenate([[False], (at[1:] == at[:-1]).all(1)])
-            _set(again, at[same | _all_set(once, at)])
-            _set(once, at)
-        for k in range(0, n, SLICE):
-            if once[k : k + SLICE].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([once[k : k + SLICE].tobytes()], pa.binary()), pa.array([again[k : k + SLICE].tobytes()], pa.binary())], names=["at", "once", "again"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, once, again = None, None, None  # the slices come sorted, so one is open at a time
-        for batch in batches:
-            for at, a, b in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-                if at != k:
-                    if k is not None and again.any():
-                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([again.tobytes()], pa.binary())], names=["at", "again"])
-                    k, once, again = at, a, b
-                else:
-                    again = again | b | (once & a)
-                    once = once | a
-        if k is not None and again.any():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([again.tobytes()], pa.binary())], names=["at", "again"])
-
-    parts = digests.select("h").mapInArrow(fill, "at long, once binary, again binary")
-    out = bytearray(n)
-    for r in parts.repartition("at").sortWithinPartitions("at").mapInArrow(merge, "at long, again binary").toLocalIterator():
-        out[r["at"] : r["at"] + len(r["again"])] = r["again"]
-    return bytes(out)
-
-
-def format_copies(df: DataFrame, id_col: str = "sequence_id", text_col: str = "sequence", max_bits: int = MAX_BITS) -> DataFrame:
+def format_copies(df: DataFrame, id_col: str = "sequence_id", text_col: str = "sequence", max_bits: int = MAX_BITS, per_row: int = BITS_PER_ROW) -> DataFrame:
     """(keep_id, member_id, n_copies) for every usable record; keep_id is the smallest id of its record.
 
-    Records are the same if ``canonical`` says so. Two passes: Bloom filters over the canonical digests,
-    of a size that follows the row count up to ``max_bits``, find what may repeat; only those rows are
-    shuffled and grouped exactly, by SHA-256. All others are singletons (n_copies 1) and never move. A
-    full filter lets more rows through to the exact grouping, and never loses a copy.
+    Records are the same if ``canonical`` says so. Two passes: Bloom filters over the canonical digests
+    find what may repeat; only those rows are shuffled and grouped exactly, by SHA-256. All others are
+    singletons (n_copies 1) and never move.
+
+    A filter has ``per_row`` bits a row. Rows beyond what ``max_bits`` hold are divided by the first bits of
+    their digests into as many ranges as they need, each with a filter and passes of its own, so that the
+    filters never fill up, however many rows there are. The digests are then staged once, sorted within
+    their partitions: a range's pass skips the pages of the others, and no row is shuffled for it.
 
     Grouping has map-side partial counts, and members come back by a join that splits a hot group. Rows
     with null id, null text or fewer than 8 letters are left out; an id that occurs twice counts once.
     """
     c = canonical(F.col(text_col))
     enough = F.length(L.letters(F.col(text_col))) >= L.WINDOW
-    rows = df.where(F.col(id_col).isNotNull() & enough).select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(c, 256)).alias("h"))
-    bits = max(SLICE * 8, min(max_bits, 1 << max(1, df.count() * BITS_PER_ROW - 1).bit_length()))
-    spark = df.sparkSession
-    seen = spark.sparkContext.broadcast(repeat_filter(rows, bits))
-
-    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.frombuffer(seen.value, np.uint8)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            at = _places(batch.column(1), bits)
-            hit = _all_set(mask, at)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h if y else None for h, y in zip(batch.column(1).to_pylist(), hit)], pa.binary())], names=["id", "h"])
-
-    flagged = rows.mapInArrow(flag, "id long, h binary")
+    digest = F.sha2(c, 256)
+    rows = df.where(F.col(id_col).isNotNull() & enough).select(F.col(id_col).cast("long").alias("id"), F.unhex(digest).alias("h"))
+    n, max_bits = df.count(), 1 << (max(max_bits, bloom.SLICE * 8).bit_length() - 1)
+    ranges = max(1, -(-n * per_row // max_bits))
+    if ranges > 1:
+        p = F.shiftright(F.conv(F.substring(F.hex("h"), 1, 8), 16, 10).cast("long"), 1)
+        rows = staged(rows.select("id", "h", p.alias("p")).sortWithinPartitions("p"), "digests")
+    bits = bloom.size_for(-(-n // ranges), per_row, max_bits)
+    flagged = None
+    for r in range(ranges):
+        part = rows.where((F.col("p") >= PREFIX * r // ranges) & (F.col("p") < PREFIX * (r + 1) // ranges)) if ranges > 1 else rows
+        one = _flagged(part, bloom.merged_filter(part.select("h"), lambda b: _digests(b.column(0)), bits, twice=True), bits)
+        flagged = one if flagged is None else flagged.unionByName(one)
     possible = flagged.where("h is not null").distinct()
     groups = possible.groupBy("h").agg(F.min("id").alias("keep_id"), F.count("*").alias("n_copies"))
     grouped = possible.join(groups, "h").select("keep_id", F.col("id").alias("member_id"), "n_copies")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandflow.llm import arrivals, near
+from strandflow.llm import arrivals, bloom, near
 from strandflow.llm import letters as L
 from strandflow.llm.arrivals import SegmentIndex, repeats_since
 from strandflow.llm.formatting import format_copies, records
@@ -221,12 +221,39 @@ def test_format_copies_are_those_of_brute_force(spark):
         if i is not None and s and len(re.sub("[^A-Z]", "", s.upper())) >= 8:
             want.setdefault(canon(s), set()).add(i)
     pairs = {(min(v), i) for v in want.values() for i in v}
-    for bits in (1 << 29, 64):  # a filter that is all ones lets every row through and loses none
-        got = format_copies(df, max_bits=bits)
+    for per_row in (8, 1000):  # one range, and several
+        got = format_copies(df, max_bits=1 << 16, per_row=per_row)
         assert {(r["keep_id"], r["member_id"]) for r in got.collect()} == pairs
     assert {(r[0], r[1]) for r in records(df).collect()} == {(min(v), len(v)) for v in want.values()}
 
 
+def test_a_full_filter_loses_no_copy(spark):
+    rng = random.Random(9)
+    rows = [(i, text(rng, 12), None, "", 0, "", "") for i in range(500)]
+    rows += [(1000 + i, r[1].lower(), *r[2:]) for i, r in enumerate(rows[:20])]
+    full = bloom.merged_filter(spark.range(3).selectExpr("id as k"), lambda b: b.column(0).to_numpy().view(np.uint64), 1 << 16, twice=False)
+    assert sum(bin(x).count("1") for x in full) == 3 * bloom.HASHES
+    got = format_copies(spark.createDataFrame(rows, SCHEMA), per_row=0)  # 65,536 bits for any number of rows
+    assert {(r["keep_id"], r["member_id"]) for r in got.where("n_copies > 1 and keep_id <> member_id").collect()} == {(i, 1000 + i) for i in range(20)}
+
+
+@pytest.mark.parametrize("n", [3_000, 300_000])
+def test_filters_pass_few_singletons_at_any_size(spark, n):
+    keys = spark.range(n).selectExpr("xxhash64(id) as k")
+    of = lambda b: b.column(0).to_numpy().view(np.uint64)
+    bits = bloom.size_for(n, 8, 1 << 29)
+    mask = np.frombuffer(bytes(bloom.merged_filter(keys, of, bits, twice=True)), np.uint8)
+    at = bloom.places(np.array([r[0] for r in keys.collect()], np.int64).view(np.uint64), bits)
+    assert bloom.all_set(mask, at).mean() < 0.01
+
+
+def test_slices_come_back_as_they_were():
+    rng = np.random.default_rng(3)
+    for share in (0.0, 0.001, 0.06, 0.5, 1.0):
+        part = np.packbits((rng.random(bloom.SLICE * 8) < share).astype(np.uint8), bitorder="little")
+        assert len(bloom.encoded(part)) <= bloom.SLICE and (bloom.decoded(bloom.encoded(part)) == part).all()
+
+
 def test_letters_keep_only_a_to_z(spark):
     df = spark.createDataFrame([("ab-c 1ß",), (None,), ("",)], "s string")
     assert [r[0] for r in df.select(L.letters(F.col("s"))).collect()] == ["ABCSS", None, ""]
