@@ -67,7 +67,7 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return split_texts(read_table(spark, d, "documents"), with_text=False).select(F.col("id").alias("doc_id")).distinct()
+    return split_texts(read_table(spark, d, "documents")).select(F.col("id").alias("doc_id")).distinct()
 
 
 def p9_pieces(spark: SparkSession, d: str) -> DataFrame:

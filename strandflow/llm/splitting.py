@@ -34,8 +34,8 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP, fill: float = FIL
 
     Token offsets are the prefix sums of the sizes, one per token. From a piece's first token the last
     boundary under the limit is found by binary search in the sorted boundaries, best kind first; a kind
-    that would leave the piece under ``fill`` of the limit yields to the next, and without any boundary
-    the cut is a hard one at the limit. The next piece steps back by ``overlap`` tokens. A piece ends with
+    that would leave the piece under ``fill`` of the limit yields to the next. Where all kinds do, the last
+    boundary of any kind counts, and only without any is the cut a hard one at the limit. The next piece steps back by ``overlap`` tokens. A piece ends with
     the white space after its last token, so pieces less their overlaps give back the text.
     """
     if not 0 <= overlap < limit:
@@ -52,13 +52,9 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP, fill: float = FIL
         if n - s <= limit:
             out.append((s, n - s, int(starts[s]) if s else 0, len(text)))
             return out
-        end = s + limit
         least = s + max(overlap + 1, int(limit * fill))
-        for places in kinds:
-            k = bisect_right(places, s + limit) - 1
-            if k >= 0 and places[k] >= least:
-                end = places[k]
-                break
+        last = [places[k - 1] for places in kinds if (k := bisect_right(places, s + limit))]
+        end = next((p for p in last if p >= least), max([p for p in last if p > s + overlap], default=s + limit))
         out.append((s, end - s, int(starts[s]) if s else 0, int(starts[end])))
         s = end - overlap
 

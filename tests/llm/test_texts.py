@@ -115,9 +115,18 @@ def test_pack_finds_the_fewest_bins_of_small_cases():
     assert close >= 57
 
 
+def test_pack_without_a_node_limit_finds_the_fewest_bins():
+    rng = random.Random(11)
+    for _ in range(40):
+        sizes = [rng.randint(15, 60) for _ in range(11)]
+        assert len(pack(sizes, 100, nodes=None)) == fewest(sizes, 100)
+
+
 def test_fillings_are_undominated():
     sizes = [2, 3, 5, 9]
-    for f in fillings(10, sizes, dict.fromkeys(sizes, 1), width=50):
+    options, whole = fillings(10, sizes, dict.fromkeys(sizes, 1), width=50)
+    assert whole and options
+    for f in options:
         left = 10 - sum(f)
         rest = [s for s in sizes if s not in f]
         assert all(s > left for s in rest)
@@ -127,7 +136,7 @@ def test_fillings_are_undominated():
 def test_pack_texts(spark):
     rng = random.Random(6)
     rows = [(i, "w " * n) for i in range(400) for n in [min(6000, int(rng.paretovariate(1.0) * 60))]]
-    rows += [(900, None), (901, "  "), (902, "w " * 2048), (903, "w " * 4097), (904, "w " * 2047), rows[0]]
+    rows += [(900, None), (901, "  "), (902, "w " * 2048), (903, "w " * 4097), (904, "w " * 2047)]
     df = spark.createDataFrame([(*r, "t", 1) for r in rows], "doc_id long, text string, tokens string, container int")
     out = pack_texts(df, per_shard=50).collect()
     fill, parts = {}, {}
@@ -142,6 +151,18 @@ def test_pack_texts(spark):
     assert len(fill) <= 1.05 * sum(want.values()) / 2048 + 2
 
 
+def test_every_row_is_an_item(spark):
+    rows = [(None, "a b c"), (None, "d e f"), (7, "a b c"), (7, "a b c"), (8, "w " * 4100), (8, "v " * 4100), (None, None), (None, "")]
+    out = pack_texts(spark.createDataFrame(rows, "doc_id long, text string"), capacity=2048).collect()
+    assert sorted(r["tokens"] for r in out) == [0, 0, 3, 3, 3, 3, 4, 4, 2048, 2048, 2048, 2048]
+    assert len({(r["id"], r["copy"], r["part"], r["tokens"]) for r in out}) == len(out)
+    fill = {}
+    for r in out:
+        if r["container"]:
+            fill[r["container"]] = fill.get(r["container"], 0) + r["tokens"]
+    assert sorted(fill.values()) == [20, 2048, 2048, 2048, 2048]
+
+
 def test_pack_texts_of_nothing(spark):
     assert pack_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -181,6 +202,12 @@ def test_cut_prefers_better_boundaries():
     assert cut("a b c d e f g h i j k l " * 3, 10, 2)[0][1] == 10
 
 
+def test_a_boundary_early_in_a_piece_comes_before_a_hard_cut():
+    text = "one two three, " + ".a" * 60  # the only boundaries stand in the first tokens
+    assert cut(text, 40, 2)[0][1] == 4 and text[: cut(text, 40, 2)[0][3]] == "one two three, "
+    assert cut(text, 40, 4)[0][1] == 40  # a piece must go beyond its overlap
+
+
 def test_hard_cut_without_boundaries():
     text = ".a" * 3000
     assert [p[1] for p in cut(text, 1024, 64)][:2] == [1024, 1024]
