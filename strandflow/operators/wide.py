@@ -43,7 +43,8 @@ def cells(df: DataFrame, entity: str, key_cols: list[str], order: str, value: Co
     for i in range(len(key_cols)):
         ok &= F.col(f"k{i}").isNotNull()
     best = rows.where(ok).groupBy("entity", *[f"k{i}" for i in range(len(key_cols))])
-    return best.agg(F.max("cell_id").alias("cell_id"), F.max_by("value", "cell_id").alias("value"))
+    top = best.agg(F.max(F.struct("cell_id", "value")).alias("top"))
+    return top.select("entity", *[f"k{i}" for i in range(len(key_cols))], "top.cell_id", "top.value")
 
 
 def discover(table: DataFrame, n_keys: int, max_attributes: int = MAX_ATTRIBUTES) -> list[Attribute]:
