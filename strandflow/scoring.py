@@ -94,7 +94,7 @@ def run_batch(scorer: Scorer, items: list[dict[str, Any]], action: str, params:
             if k == attempts - 1:
                 if not skip_on_error:
                     raise
-                return [None] * len(items), [str(e)[:500]] * len(items)
+                return [None] * len(items), [str(e)] * len(items)
             if wait:
                 time.sleep(wait * 2**k)
     out, errors = [], []
@@ -105,7 +105,7 @@ def run_batch(scorer: Scorer, items: list[dict[str, Any]], action: str, params:
         if bad and not skip_on_error:
             raise ScorerError(str(r["error"]), r.get("status_code"))
         out.append(None if bad else r)
-        errors.append(str(r["error"])[:500] if bad else None)
+        errors.append(str(r["error"]) if bad else None)
     return out, errors
 
 

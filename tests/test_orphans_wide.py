@@ -120,3 +120,10 @@ def test_too_many_attributes_are_refused(spark):
     rows = [(1, f"m{i}", "x", 1.0, i, "", 0, "", "") for i in range(20)]
     with pytest.raises(ValueError):
         wide.wide_table(spark.createDataFrame(rows, EAV), max_attributes=10)
+
+
+def test_tied_cells_take_the_largest_value_in_any_order(spark):
+    for values in ([2.0, 9.0, 4.0], [9.0, 4.0, 2.0], [4.0, 2.0, 9.0]):
+        rows = [(1, "m", "score_x", v / 7, 5, "", 0, "", "") for v in values]
+        table, _ = wide.wide_table(spark.createDataFrame(rows, EAV).repartition(1))
+        assert table.first()["m__score_x"] == 9 / 7
