@@ -67,6 +67,19 @@ def test_orphan_counts(spark, case):
     assert got == want
 
 
+def test_a_heavy_key_whose_parent_came_within_a_period(spark):
+    day = datetime(2025, 3, 1)
+    rows = [(i, "Hot " if i % 3 else "sound", None if i % 50 == 0 else day + timedelta(minutes=i * 9)) for i in range(6000)] + [(9000 + i, f"k{i % 700}", day) for i in range(3000)]
+    parents = [("hot", day + timedelta(days=12)), ("sound", day - timedelta(days=1)), *[(f"k{i}", day + timedelta(hours=i - 5)) for i in range(300)]]
+    case = (rows, parents, ["k500"])
+    got = {tuple(r) for r in orphans.orphan_rows(reference(spark, *case)).collect()}
+    assert got == set(judge(*case)) and any(r[4] == "late" for r in got)
+    want = {}
+    for _, _, _, period, reason in judge(*case):
+        want[period, reason] = want.get((period, reason), 0) + 1
+    assert {(r["period"], r["reason"]): r["n_rows"] for r in orphans.orphan_counts(reference(spark, *case)).collect()} == want
+
+
 def test_orphans_of_empty_tables(spark, case):
     assert orphans.orphan_rows(reference(spark, [], case[1], [])).count() == 0
     assert orphans.orphan_counts(reference(spark, [], [], [])).count() == 0
