@@ -2,123 +2,144 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .tokens import words
+from . import bloom
+from .tokens import words, words_as_written
 
 SPAN = 13
-MIN_LITERAL = 6
-RARE = 0.01  # a word in at most this share of all documents and items may be a name
-BLOCK_CHARS = 32_000_000  # of item text that is sent to the executors at once
-# Units of measure, as words.
-UNITS = frozenset("""
-    mg g kg ug ng pg milligram milligrams gram grams microgram micrograms kilogram kilograms
-    ml l ul nl milliliter milliliters litre litres liter liters microliter microliters
-    nm um mm cm m angstrom angstroms nanometer nanometers micrometer micrometers millimeter millimeters
-    nanometre nanometres micrometre micrometres
-    kda da dalton daltons kilodalton kilodaltons mol mmol umol nmol molar millimolar micromolar nanomolar
-    kcal kj kilocalorie kilocalories kilojoule kilojoules
-    c k degree degrees celsius kelvin
-    s sec second seconds min minute minutes h hour hours day days week weeks month months year years
-    percent residues residue copies kelvins hz volts
-""".split())
-_NUMBER = re.compile(r"\d+")
-_CODE = re.compile(r"(?=.*\d)(?=.*[^\W\d_]).+")
-# Endings of made-up substance, tool and protein names; a word that merely looks like one only makes a template wider.
-_NAME = re.compile(r".{3,}(?:in|ase|gen|some|mer|drix|dyne|ora|plex|scan|watch|net|sor|vix|ome|mab)")
+MIN_LITERAL = 6  # literal words that a template window needs; others are compared word for word
+RARE = 0.01  # a word in at most this share of all documents and items is a name
+FEW_TEXTS = 2  # and so is a word in at most so many
+LOWER = 0.1  # a word that is written small in less than this share of its texts is a name
+AFTER_NUMBER = 0.5  # a word that follows a number in this share of its texts is a unit
+FILLERS = 3  # so many words in one place of otherwise equal item templates make the place a slot
+REWORKED = 0.5  # share of an item's windows that makes a consistent match a re-parameterised copy
+FILTER_BITS = 1 << 29
+BROADCAST_WINDOWS = 100_000  # item windows (some 250 bytes each) up to which they are sent to the executors
+CHUNK = 200_000  # words that are looked at together
 KINDS = ("number", "code", "unit", "name")
-_MASK = (1 << 64) - 1
 _P = np.uint64(0x100000001B3)
+_AFTER = regex.compile(r"\d[^\w]+([^\W\d_]+)(?![\w])")
 
 
-def slot_kind(word: str) -> int | None:
-    """Placeholder type of a lower-cased word (index into KINDS), None for a literal. Depends on the word alone."""
-    if _NUMBER.fullmatch(word):
-        return 0
-    if _CODE.fullmatch(word):
-        return 1
-    if word in UNITS:
-        return 2
-    if _NAME.fullmatch(word):
-        return 3
-    return None
+@dataclass(frozen=True)
+class Typing:
+    """What the words of the texts are, found from their counts: ``literal`` words and ``units``; all others are placeholders."""
 
+    literal: frozenset[str]
+    units: frozenset[str]
 
-def _hash(word: str) -> int:
-    """FNV-1a of the UTF-8 bytes, finished; the same in every process."""
-    h = 0xCBF29CE484222325
-    for b in word.encode("utf-8", "surrogatepass"):
-        h = ((h ^ b) * 0x100000001B3) & _MASK
-    h ^= h >> 32
-    return (h * 0x9E3779B97F4A7C15) & _MASK
+    def kind(self, word: str) -> int | None:
+        """Placeholder type of a lower-cased word (index into KINDS), None for a literal. Depends on the word alone."""
+        if word.isdecimal():
+            return 0
+        if not word.isalpha() and any(c.isdecimal() for c in word) and any(c.isalpha() for c in word):
+            return 1
+        if word in self.units:
+            return 2
+        return None if word in self.literal else 3
 
 
-def common_words(texts: DataFrame, share: float = RARE) -> frozenset[str]:
-    """The words that stand in more than ``share`` of the texts (one column), counted over all of them.
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
 
-    There are at most (distinct words a text) / ``share`` of these, so the driver can hold them.
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, n, small, after) of the words without digits of all texts (one column).
+
+    n counts the texts that hold the word, small those in which it stands lower-cased somewhere, after those
+    in which it directly follows a number. The row of the empty word counts the texts.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, small, after = Counter(), Counter(), Counter()
+
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), *[pa.array([c[w] for w in n], pa.int64()) for c in (n, small, after)]], names=["word", "n", "small", "after"])
 
-        seen: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen[""] += 1  # no word is empty: this counts the texts
-                seen.update(set(words(text)))
-                if len(seen) > 200_000:
+                seen = set(words_as_written(text))
+                low = {w for w in seen if w.islower() and w.isalpha()}
+                n[""] += 1  # no word is empty
+                n.update({w.lower() for w in seen if w.isalpha()})
+                small.update(low)
+                after.update({w.lower() for w in _AFTER.findall(text)})
+                if len(n) > 200_000:
                     yield out()
-                    seen = Counter()
-        if seen:
+                    n, small, after = Counter(), Counter(), Counter()
+        if n:
             yield out()
 
-    counted = staged(texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    found = texts.mapInArrow(count, "word string, n long, small long, after long")
+    return found.groupBy("word").agg(F.sum("n").alias("n"), F.sum("small").alias("small"), F.sum("after").alias("after"))
+
+
+def learn_typing(texts: DataFrame, items: DataFrame, rare: float = RARE) -> Typing:
+    """The ``Typing`` of the words of texts and items (one column each), from counts over all of them.
+
+    Names are words in at most the share ``rare`` of the texts (or in ``FEW_TEXTS``), words that are hardly
+    ever written small, and words that stand where otherwise equal templates of items hold different words.
+    Units are words that mostly follow a number. Only the others are collected: at most the distinct words
+    of a text / ``rare`` of them.
+    """
+    counted = staged(word_counts(texts.unionByName(items)), "words")
     total = counted.where("word = ''").first()
-    return frozenset(r[0] for r in counted.where((F.col("n") > share * total["n"]) & (F.col("word") != "")).select("word").collect()) if total else frozenset()
+    least = max(FEW_TEXTS, rare * total["n"]) if total else 0
+    common = counted.where((F.col("n") > least) & (F.col("word") != "")).collect()
+    units = frozenset(r["word"] for r in common if r["after"] >= AFTER_NUMBER * r["n"])
+    literal = frozenset(r["word"] for r in common if r["small"] >= LOWER * r["n"]) - units
+    first, side = Typing(literal, units), SPAN // 2
 
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, word = [], []
+            for text in batch.column(0).to_pylist():
+                ws = words(text)
+                t = [w if (k := first.kind(w)) is None else f"<{k}>" for w in ws]
+                for i in range(side, len(ws) - side):
+                    if t[i] == ws[i]:
+                        key.append(_hash(" ".join([*t[i - side : i], "_", *t[i + 1 : i + 1 + side]])))
+                        word.append(ws[i])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(word, pa.string())], names=["key", "word"])
 
-def _kind(word: str, common: frozenset[str] | None) -> int | None:
-    """``slot_kind``, where a literal that isn't ``common`` is a name as well (None: all words are common)."""
-    kind = slot_kind(word)
-    return 3 if kind is None and common is not None and word not in common else kind
+    at = staged(items.mapInArrow(contexts, "key long, word string"), "contexts")
+    slots = at.groupBy("key").agg(F.count_distinct("word").alias("fillers")).where(F.col("fillers") >= FILLERS)
+    filler = at.join(slots, "key", "left").groupBy("word").agg((F.count("fillers") / F.count("*")).alias("share")).where("share >= 0.5")
+    return Typing(literal - {r["word"] for r in filler.collect()}, units)
 
 
 class Vocabulary(dict):
-    """word -> number, with a hash of the word and of its placeholder for each number; emptied when large.
-
-    ``template`` and ``literal`` go by ``slot_kind``, ``wide`` and ``wide_literal`` take rare words as names too.
-    """
+    """word -> number, with a hash of the word and of what stands for it in a template, for each number; emptied when large."""
 
-    def __init__(self, common: frozenset[str] | None = None, most: int = 1_000_000):
+    def __init__(self, typing: Typing, most: int = 1_000_000):
         super().__init__()
-        self.common, self.most = common, most
+        self.typing, self.most = typing, most
         self.reset()
 
     def reset(self) -> None:
         self.clear()
-        self.exact, self.template, self.literal, self.wide, self.wide_literal = (np.zeros(1 << 12, t) for t in (np.uint64, np.uint64, bool, np.uint64, bool))
+        self.exact, self.template, self.literal = (np.zeros(1 << 12, t) for t in (np.uint64, np.uint64, bool))
 
     def __missing__(self, word: str) -> int:
         n = len(self)
         if n == len(self.exact):
-            self.exact, self.template, self.literal, self.wide, self.wide_literal = (np.concatenate([x, np.zeros_like(x)]) for x in (self.exact, self.template, self.literal, self.wide, self.wide_literal))
-        kind, wide = slot_kind(word), _kind(word, self.common)
+            self.exact, self.template, self.literal = (np.concatenate([x, np.zeros_like(x)]) for x in (self.exact, self.template, self.literal))
+        kind = self.typing.kind(word)
         self.exact[n] = _hash(word)
         self.template[n] = self.exact[n] if kind is None else _hash(f"<{KINDS[kind]}>")
         self.literal[n] = kind is None
-        self.wide[n] = self.exact[n] if wide is None else _hash(f"<{KINDS[wide]}>")
-        self.wide_literal[n] = wide is None
         self[word] = n
         return n
 
@@ -134,149 +155,115 @@ def rolled(h: np.ndarray, span: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
+    mixed = h ^ (h >> np.uint64(29))
     with np.errstate(over="ignore"):
         for j in range(span):
-            out = out * _P + (h[j : j + n] ^ (h[j : j + n] >> np.uint64(29)))
+            out *= _P
+            out += mixed[j : j + n]
     return out
 
 
-@dataclass
-class ItemIndex:
-    """Template windows of a block of items: sorted hashes, and per hash the (item, place) that have it."""
-
-    span: int
-    min_literal: int
-    ids: list = field(default_factory=list)
-    words: list[list[str]] = field(default_factory=list)
-    kinds: list[list[int | None]] = field(default_factory=list)  # of each word, rare ones being names
-    template: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    exact: dict = field(default_factory=dict)  # exact hash -> [(item, place)]
-    alike: dict = field(default_factory=dict)  # template hash -> [(item, place)], of windows with enough literals
-    wide: dict = field(default_factory=dict)  # the same with rare words as names
-    wide_template: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # the sorted hashes of ``wide``
-    common: frozenset[str] | None = None
-
-    @classmethod
-    def of(cls, items: list[tuple], span: int, min_literal: int, common: frozenset[str] | None = None) -> ItemIndex:
-        out, vocab = cls(span, min_literal, common=common), Vocabulary(common)
-        exact, alike, wide, seen = defaultdict(list), defaultdict(list), defaultdict(list), []
-        for item_id, text in items:
-            ws = words(text)
-            if len(ws) < span:
-                continue
-            n = len(out.ids)
-            out.ids.append(item_id)
-            out.words.append(ws)
-            out.kinds.append([_kind(w, common) for w in ws])
-            no = vocab.numbers(ws)
-            t, e = rolled(vocab.template[no], span), rolled(vocab.exact[no], span)
-            lit = np.convolve(vocab.literal[no].astype(int), np.ones(span, int), "valid")
-            seen.append(t)
-            for i, (x, y, z) in enumerate(zip(t.tolist(), e.tolist(), lit.tolist())):
-                exact[y].append((n, i))
-                if z >= min_literal:
-                    alike[x].append((n, i))
-            if common is not None:
-                lit = np.convolve(vocab.wide_literal[no].astype(int), np.ones(span, int), "valid")
-                w = rolled(vocab.wide[no], span).tolist()
-                for i in np.flatnonzero(lit >= min_literal).tolist():
-                    wide[w[i]].append((n, i))
-        out.template = np.unique(np.concatenate(seen)) if seen else out.template
-        out.exact, out.alike, out.wide = dict(exact), dict(alike), dict(wide)
-        out.wide_template = np.array(sorted(wide), np.uint64)
-        return out
-
-    @staticmethod
-    def hits(template: np.ndarray, t: np.ndarray) -> np.ndarray:
-        """Places of a document whose template hash is among the sorted ones of the items."""
-        if not len(template) or not len(t):
-            return np.zeros(0, np.int64)
-        k = np.searchsorted(template, t)
-        k[k == len(template)] = 0
-        return np.flatnonzero(template[k] == t)
-
-
-def _consistent(doc: list[str], item: list[str], kinds: list[int | None], span: int, at: Iterable[tuple[int, int]]) -> bool:
-    """Over all windows that match, each slot value of the item stands for one value of the document and the reverse, kind by kind."""
-    there: dict[tuple[int, str], str] = {}
-    back: dict[tuple[int, str], str] = {}
-    for d, i in {(d + j, i + j) for d, i in at for j in range(span) if kinds[i + j] is not None}:  # windows overlap
-        kind, x, y = kinds[i], doc[d], item[i]
-        if there.setdefault((kind, y), x) != x or back.setdefault((kind, x), y) != y:
-            return False
-    return True
-
-
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "item_text", span: int = SPAN, min_literal: int = MIN_LITERAL, templates: bool = True, block_chars: int = BLOCK_CHARS, rare: float = RARE) -> DataFrame:
-    """(id, item, exact_windows, template_windows, consistent) for each document and item with a window in common.
-
-    Words become typed placeholders where they are numbers, codes (letters with digits), units or names;
-    windows of ``span`` placeholders and words meet by hash. exact_windows counts the document's windows
-    that the item has word for word (compared as words). template_windows counts further ones that match
-    only as templates with ``min_literal`` literal words or more; ``consistent`` says whether over all of
-    them each slot value was replaced in one way, as in a re-parameterised question. ``templates=False``
-    leaves these out.
-
-    Names are words with the endings of ``slot_kind``, and in a second template also all words that stand in
-    at most the share ``rare`` of documents and items together; a window counts if it matches in either, so
-    a literal that happens to be rare loses no window of the first. A name that is neither rare nor ends so
-    stays a literal. In a few texts (fewer than 1 / ``rare``) no word is rare.
-
-    Items are the query set: they are sent in blocks of bounded size (by hash of the id, as many as their
-    text needs), each block against all documents, which are read whole and never shuffled.
+def _windows(src: DataFrame, typing: Typing, span: int, min_literal: int, mask: bytearray | None, names: tuple[str, str]) -> DataFrame:
+    """(key, row, id, at, n, w, slots) of the template windows of a frame (row, id, text).
+
+    key hashes the template, or, of windows with fewer than ``min_literal`` literal words, the words
+    themselves, since a run of placeholders says nothing. w has the words, slots a hash of type and word for
+    each placeholder, n is the text's number of windows. With ``mask``, only windows whose key the filter may hold.
+    """
+    id_type = src.schema["id"].dataType.simpleString()
+    row, at_name = names
+    spark = src.sparkSession
+    shared = spark.sparkContext.broadcast((typing, bytes(mask) if mask is not None else None))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, bits = shared.value
+        vocab = Vocabulary(known)
+        bits = None if bits is None else np.frombuffer(bits, np.uint8)
+        for batch in batches:
+            texts, first = batch.column(2).to_pylist(), 0
+            while first < len(texts):
+                ws, ends, last = [], [], first
+                while last < len(texts) and len(ws) < CHUNK:
+                    ws += words(texts[last])
+                    ends.append(len(ws))
+                    last += 1
+                out = part(vocab, bits, ws, np.array(ends))
+                if out is not None:
+                    text, *cols = out
+                    take = pa.array(text + first)
+                    yield pa.RecordBatch.from_arrays([cols[0], batch.column(0).take(take), batch.column(1).take(take), *cols[1:]], names=["key", row, "id", at_name, "n", "w", "slots"])
+                first = last
+
+    def part(vocab: Vocabulary, bits: np.ndarray | None, ws: list[str], ends: np.ndarray) -> tuple | None:
+        no = vocab.numbers(ws)
+        if len(no) < span:
+            return None
+        text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        whole = text[: len(no) - span + 1] == text[span - 1 :]
+        many = np.concatenate([[0], np.cumsum(vocab.literal[no])])
+        rich = many[span:] - many[:-span] >= min_literal
+        key = np.where(rich, rolled(vocab.template[no], span), ~rolled(vocab.exact[no], span))
+        places = np.flatnonzero(whole)
+        if bits is not None:
+            places = places[bloom.all_set(bits, bloom.places(key[places], len(bits) * 8))]
+        if not len(places):
+            return None
+        of = text[places]
+        begin = np.concatenate([[0], ends[:-1]])[of]
+        words_of = no[places[:, None] + np.arange(span)]
+        slot = ~vocab.literal[words_of]
+        hashes = (vocab.exact[words_of] ^ (vocab.template[words_of] * _P))[slot].view(np.int64)
+        offsets = np.concatenate([[0], np.cumsum(slot.sum(1))]).astype(np.int32)
+        w = pa.array([" ".join(ws[i : i + span]) for i in places.tolist()], pa.string())
+        n = ends[of] - begin - span + 1
+        return of, pa.array(key[places].view(np.int64)), pa.array(places - begin), pa.array(n), w, pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes))
+
+    return src.select("row", "id", "text").mapInArrow(scan, f"key long, {row} long, id {id_type}, {at_name} long, n long, w string, slots array<long>")
+
+
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "item_text", span: int = SPAN, min_literal: int = MIN_LITERAL, slots: str = "consistent", rare: float = RARE, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """(id, item, exact_windows, template_windows, consistent, item_share, kind) for each document and item with a window in common.
+
+    Words become typed placeholders where they are numbers, codes (letters with digits), units or names
+    (see ``learn_typing``); windows of ``span`` placeholders and words meet by a hash join. Windows with
+    fewer than ``min_literal`` literal words stand for themselves, so runs of placeholders don't meet.
+
+    exact_windows counts the document's windows that the item has word for word, template_windows further
+    ones that match with other slot values; ``consistent`` says whether over all of them each slot value of
+    the item stands for one of the document and the reverse; item_share is the share of the item's windows
+    met. kind is ``exact`` with an exact window, ``reworked`` for a consistent match of ``REWORKED`` of the
+    item or more (a re-parameterised question), else ``frame``. With slots="same" the slot check asks for
+    equal values and the words are compared, so that only exact windows are left.
+
+    A filter of the item windows' keys (bounded) goes to the documents, which are read whole where they
+    are; only windows that may meet an item move. Items stay a table; it is broadcast up to
+    ``broadcast_windows`` windows, and joined by shuffle beyond.
 
     Null texts and texts with fewer than ``span`` words match nothing; equal rows come out once per row;
     empty tables give no rows; other columns are left out.
     """
-    spark = docs.sparkSession
-    it = items.select(F.col(item_col).alias("item"), F.col(item_text).alias("t")).where("item is not null and t is not null")
-    chars = it.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = -(-chars // block_chars) or 1
-    ids = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    schema = f"id {docs.schema[id_col].dataType.simpleString()}, item {items.schema[item_col].dataType.simpleString()}, exact_windows long, template_windows long, consistent boolean"
-    item_type = pa.string() if "item string" in schema else pa.int64()
-    common = common_words(ids.select("text").unionByName(it.select(F.col("t").alias("text"))), rare) if templates else None
-    out = None
-    for b in range(blocks):
-        part = it.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
-        index = spark.sparkContext.broadcast(ItemIndex.of([tuple(r) for r in part.toLocalIterator()], span, min_literal, common))
-
-        def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            ix = index.value
-            vocab = Vocabulary(ix.common)
-            for batch in batches:
-                rows, which = [], []
-                for r, text in enumerate(batch.column(1).to_pylist()):
-                    ws = words(text)
-                    if len(ws) < span:
-                        continue
-                    no = vocab.numbers(ws)
-                    t = rolled(vocab.template[no], span)
-                    at = ix.hits(ix.template, t)
-                    w = rolled(vocab.wide[no], span) if templates else t[:0]
-                    at_wide = ix.hits(ix.wide_template, w)
-                    if not len(at) and not len(at_wide):
-                        continue
-                    exact, alike = defaultdict(set), defaultdict(set)  # by item: places in the document, (place, place in the item)
-                    e = vocab.exact[no]
-                    for i in at.tolist():
-                        for n, k in ix.exact.get(int(rolled(e[i : i + span], span)[0]), ()):
-                            if i not in exact.get(n, ()) and ix.words[n][k : k + span] == ws[i : i + span]:
-                                exact[n].add(i)
-                        if templates:
-                            for n, k in ix.alike.get(int(t[i]), ()):
-                                alike[n].add((i, k))
-                    for i in at_wide.tolist():
-                        for n, k in ix.wide[int(w[i])]:
-                            alike[n].add((i, k))
-                    for n in sorted({*exact, *alike}):
-                        which.append(r)
-                        own, places = exact.get(n, set()), {d for d, _ in alike.get(n, ())}
-                        rows.append((ix.ids[n], len(own), len(places - own), _consistent(ws, ix.words[n], ix.kinds[n], span, alike.get(n, ()))))
-                if rows:
-                    item, x, y, z = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), pa.array(item, item_type), pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(z)], names=["id", "item", "exact_windows", "template_windows", "consistent"])
-
-        found = ids.mapInArrow(scan, schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+    row = F.monotonically_increasing_id().alias("row")
+    it = items.select(row, F.col(item_col).alias("id"), F.col(item_text).alias("text")).where("id is not null and text is not null")
+    src = docs.select(row, F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    typing = learn_typing(src.select("text"), it.select("text"), rare)
+    there = staged(_windows(it, typing, span, min_literal, None, ("item_row", "item_at")), "items").withColumnsRenamed({"id": "item", "w": "item_w", "slots": "item_slots", "n": "item_n"})
+    n = there.count()
+    bits = bloom.size_for(n, 16, FILTER_BITS)
+    mask = bloom.merged_filter(there.select("key"), lambda b: b.column(0).to_numpy().view(np.uint64), bits, twice=False)
+    here = staged(_windows(src, typing, span, min_literal, mask, ("row", "at")).drop("n"), "hits")
+    if n <= broadcast_windows:  # the rows of a document then stay together for the grouping
+        here, there = here.repartition("row"), F.broadcast(there)
+    same = F.col("w") == F.col("item_w")
+    met = here.join(there, "key")
+    if slots == "same":
+        met = met.where(same)
+    per = met.groupBy("row", "id", "item_row", "item", "item_n").agg(
+        F.collect_set(F.when(same, F.col("at"))).alias("exact"), F.collect_set("at").alias("places"), F.count_distinct("item_at").alias("met"),
+        F.collect_set(F.struct("slots", "item_slots")).alias("m"),
+    )
+    x, y = F.flatten("m.slots"), F.flatten("m.item_slots")
+    sizes = [F.size(F.array_distinct(c)) for c in (x, y, F.zip_with(x, y, lambda a, b: F.xxhash64(a, b)))]
+    share = F.col("met") / F.col("item_n")
+    per = per.select("id", "item", F.size("exact").cast("long").alias("exact_windows"), F.size(F.array_except("places", "exact")).cast("long").alias("template_windows"), ((sizes[0] == sizes[2]) & (sizes[1] == sizes[2])).alias("consistent"), share.alias("item_share"))
+    kind = F.when(F.col("exact_windows") > 0, "exact").when(F.col("consistent") & (F.col("item_share") >= REWORKED), "reworked").otherwise("frame")
+    return per.withColumn("kind", kind)

@@ -53,13 +53,13 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    found = leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"), templates=False)
-    return found.where("exact_windows > 0").select(F.col("id").alias("doc_id"), F.col("item").alias("item_id")).distinct()
+    found = leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"), slots="same")
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id")).distinct()
 
 
 def p8_templates(spark: SparkSession, d: str) -> DataFrame:
     found = leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
-    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "exact_windows", "template_windows", "consistent")
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "exact_windows", "template_windows", "consistent", "item_share", "kind")
 
 
 def p8_items(spark: SparkSession, d: str) -> DataFrame:

@@ -27,6 +27,14 @@ def token_count(text: Column) -> Column:
     return F.pandas_udf(_count, LongType())(text)
 
 
+def words_as_written(text: str | None) -> list[str]:
+    """Maximal runs of letters and digits."""
+    return WORD.findall(text) if text else []
+
+
 def words(text: str | None) -> list[str]:
     """Maximal runs of letters and digits, lower-cased."""
-    return [w.lower() for w in WORD.findall(text)] if text else []
+    if not text:
+        return []
+    # Lower-casing may change the length of letters beyond ASCII, so there it comes after the cut.
+    return WORD.findall(text.lower()) if text.isascii() else [w.lower() for w in WORD.findall(text)]

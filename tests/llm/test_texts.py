@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from strandflow.llm.cutoff import cutoffs, keep_fraction, source_rows
-from strandflow.llm.leakage import leaks, slot_kind
+from strandflow.llm.leakage import leaks, learn_typing
 from strandflow.llm.packing import best_fit, fillings, pack, pack_texts
 from strandflow.llm.splitting import cut, split_texts
 from strandflow.llm.tokens import TOKEN, count_tokens, words
@@ -247,58 +247,92 @@ def test_exact_leaks_are_those_of_brute_force(spark):
     docs += [(500, None), (501, ""), (502, items[3][1] * 500)]
     d = spark.createDataFrame([(*x, "c") for x in docs], "doc_id long, text string, item string")
     i = spark.createDataFrame([(*x, 1) for x in items], "item_id string, item_text string, id int")
-    for chars in (32_000_000, 500):  # in one block, and in many
-        got = {(r["id"], r["item"]) for r in leaks(d, i, templates=False, block_chars=chars).where("exact_windows > 0").collect()}
+    for most in (100_000, 0):  # items by broadcast, and by shuffle
+        got = {(r["id"], r["item"]) for r in leaks(d, i, slots="same", broadcast_windows=most).collect()}
         assert got == brute_leaks(docs, items)
+    assert {(r["id"], r["item"]) for r in leaks(d, i).where("kind = 'exact'").collect()} == got
     assert leaks(d.limit(0), i).count() == 0 and leaks(d, i.limit(0)).count() == 0
 
 
+QUESTION = "given {a} copies of {n} per cell and a loss of {b} percent per hour how many hours until fewer than {c} copies of {n} remain in the dish"
+
+
+def filler(n=300):
+    return [(i, " ".join(sorted(QUESTION.split(), reverse=True)) + f" {i % 7} percent {i} copies") for i in range(n)]  # makes the plain words common
+
+
 def test_reparameterised_questions_are_told_from_inconsistent_ones(spark):
-    q = "given {a} copies of {n} per cell and a loss of {b} percent per hour how many hours until fewer than {c} copies of {n} remain in the dish"
-    item = q.format(a=314, n="rulxixin", b=62, c=617)
-    same = "x " + q.format(a=9, n="korgelin", b=5, c=88)
-    mixed = q.format(a=9, n="korgelin", b=5, c=88)[::-1].replace("nilegrok", "nihtomos", 1)[::-1]
-    d = spark.createDataFrame([(1, same), (2, mixed), (3, item), (4, "nothing of the kind " * 20)], "doc_id long, text string")
-    i = spark.createDataFrame([("q", item)], "item_id string, item_text string")
-    got = {r["id"]: r for r in leaks(d, i).collect()}
-    assert set(got) == {1, 2, 3}
-    assert got[1]["exact_windows"] == 0 and got[1]["template_windows"] > 0 and got[1]["consistent"]
-    assert not got[2]["consistent"]
-    assert got[3]["exact_windows"] > 0 and got[3]["template_windows"] == 0
-
-
-def test_names_without_a_known_ending_are_found_by_their_rarity(spark):
-    q = "given {a} copies of {n} per cell and a loss of {b} percent per hour how many of them until fewer than {c} copies of {n} remain in the dish"
-    names = ("Paderborn", "Timbuktu", "Kovacs", "serramab", "photimab")
-    assert [slot_kind(n.lower()) for n in names] == [None, None, None, 3, 3]
-    item, other = q.format(a=314, n="Paderborn", b=62, c=617), q.format(a=31, n="serramab", b=2, c=61)
-    plain = [(i, " ".join(sorted(q.split(), reverse=True))) for i in range(300)]  # the other words are common
-    docs = [(900, q.format(a=9, n="Timbuktu", b=5, c=88)), (901, q.format(a=9, n="Timbuktu", b=5, c=88)[::-1].replace("Timbuktu"[::-1], "Kovacs"[::-1], 1)[::-1]), (902, q.format(a=1, n="photimab", b=3, c=7))]
-    d = spark.createDataFrame([*plain, *docs], "doc_id long, text string")
-    i = spark.createDataFrame([("q", item), ("m", other)], "item_id string, item_text string")
-    for chars in (32_000_000, 50):  # in one block, and in several
-        got = {(r["id"], r["item"]): r for r in leaks(d, i, block_chars=chars).collect()}
-        assert set(got) == {(k, m) for k in (900, 901, 902) for m in ("q", "m")}
+    item = QUESTION.format(a=314, n="rulxixin", b=62, c=617)
+    other = QUESTION.format(a=9, n="Kovacs", b=5, c=88)
+    mixed = other[::-1].replace("Kovacs"[::-1], "Paderborn"[::-1], 1)[::-1]
+    docs = [*filler(), (901, "x " + other), (902, mixed), (903, item), (904, "nothing of the kind " * 20), (905, None), (None, other)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame([("q", item), ("none", None), (None, item)], "item_id string, item_text string")
+    for most in (100_000, 0):
+        got = {r["id"]: r for r in leaks(d, i, broadcast_windows=most).collect()}
+        assert set(got) == {901, 902, 903, None}
         n = len(words(item)) - 12
-        assert all(r["exact_windows"] == 0 and r["template_windows"] == n for r in got.values())
-        assert {k for k, r in got.items() if not r["consistent"]} == {(901, "q"), (901, "m")}
+        assert {k: r["kind"] for k, r in got.items()} == {901: "reworked", 902: "frame", 903: "exact", None: "reworked"}
+        assert got[901]["exact_windows"] == 0 and got[901]["template_windows"] == n and got[901]["consistent"] and got[901]["item_share"] == 1
+        assert got[902]["template_windows"] == n and not got[902]["consistent"]
+        assert got[903]["exact_windows"] == n and got[903]["template_windows"] == 0
+
+
+def test_words_are_typed_by_their_counts(spark):
+    rng = random.Random(7)
+    names = ["".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(400)]
+    texts = [(f"again we train the customer to begin with {names[k]} and {rng.randint(1, 99)} kelps of salt as Berta said; again the income of Berta grew by {k % 50} kelps",) for k in range(400)]
+    items = [(f"again we say that the old and known {w} is held by {names[k]} until the sum will grow again to {k} kelps",) for k, w in enumerate(("customer", "income", "train"))]
+    t = learn_typing(spark.createDataFrame(texts, "text string"), spark.createDataFrame(items, "text string"))
+    assert all(t.kind(w) is None for w in ("again", "begin", "with", "the", "salt"))
+    assert {t.kind(w) for w in names} == {3} and t.kind("berta") == 3 and t.kind("paris") == 3
+    assert [t.kind(w) for w in ("kelps", "12", "f389d", "x2")] == [2, 0, 1, 1]
+    assert {t.kind(w) for w in ("customer", "income", "train")} == {3}  # common, but fillers of one place of several items
+
+
+def test_planted_reworked_items_are_found(spark):
+    """Recall and precision of ``reworked`` on items planted with new numbers and names among plain documents."""
+    rng = random.Random(12)
+    plain = [f"word{c}" for c in "abcdefghijklmnopqrstuvwxyz"]
+    vocab = ["".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(150)] + [w[4:] * 3 for w in plain]
+    name = lambda: "".join(rng.choice("bdgklmnprst") + rng.choice("aeiou") for _ in range(5))
+
+    def frame():
+        ws = [rng.choice(vocab) for _ in range(30)]
+        for at in (4, 15, 24):
+            ws[at] = "{n}"
+        for at in (9, 20):
+            ws[at] = "{a}"
+        return " ".join(ws)
+
+    frames = [frame() for _ in range(40)]
+    fill = lambda f: f.format(n=name(), a=rng.randint(1, 999))
+    items = [(f"i{k}", fill(f)) for k, f in enumerate(frames)]
+    docs = [(k, " ".join(rng.choice(vocab) for _ in range(120))) for k in range(600)]
+    planted = set()
+    for k in range(100):
+        f = rng.randrange(40)
+        planted.add((k, f"i{f}"))
+        docs[k] = (k, docs[k][1] + " " + fill(frames[f]) + " " + docs[k][1][:200])
+    for k in range(100, 160):  # a third of an item only
+        docs[k] = (k, docs[k][1] + " " + " ".join(fill(frames[k % 40]).split()[:16]))
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, item_text string")
+    found = {(r["id"], r["item"]) for r in leaks(d, i).where("kind = 'reworked'").collect()}
+    assert len(found & planted) >= 0.95 * len(planted) and len(found & planted) >= 0.95 * len(found)
 
 
 def test_exact_windows_rich_in_slots_take_nothing_from_the_templates(spark):
     rich = " ".join(f"{k} zeldapin {k + 50} percent" for k in range(4))  # 4 windows of 13 words, none with a literal
     q = " the loop of {n} between {a} and {b} was rebuilt by hand before the model scored it with care"
     item, doc = rich + q.format(n="zeldapin", a=4, b=9), rich + " but" + q.format(n="korgelin", a=5, b=8)
-    d = spark.createDataFrame([(1, doc)], "doc_id long, text string")
+    plain = [(100 + k, "but the loop of a between was and rebuilt by hand before the model scored it with care") for k in range(300)]
+    d = spark.createDataFrame([(1, doc), *plain], "doc_id long, text string")
     i = spark.createDataFrame([("q", item)], "item_id string, item_text string")
     (r,) = leaks(d, i).collect()
     n = len(words(q.format(n="korgelin", a=5, b=8)))
     assert (r["exact_windows"], r["template_windows"]) == (4, n - 12)
 
 
-def test_slot_kinds():
-    assert [slot_kind(w) for w in ("12", "f389d", "kda", "zeldapin", "loop")] == [0, 1, 2, 3, None]
-
-
 def test_tokens_are_those_of_the_pattern():
     assert re.findall(r"\w+|[^\w\s]+", "Größe: 3.5 µM…ok") == [m.group() for m in TOKEN.finditer("Größe: 3.5 µM…ok")]
     assert count_tokens(None) == 0 and words("Ab_c Ä1") == ["ab", "c", "ä1"]
