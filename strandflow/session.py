@@ -52,6 +52,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def scratch_path(spark: SparkSession, what: str = "t") -> str:
+    """A new path in the shared folder, which ``sweep`` deletes with all that was written under it."""
+    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def staged(df: DataFrame, what: str = "t") -> DataFrame:
     """``df`` written once as a Parquet table in the shared folder, and read back.
 
@@ -59,9 +66,8 @@ def staged(df: DataFrame, what: str = "t") -> DataFrame:
     columnar, and its size is known to the planner when it picks join strategies.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, what)
     df.write.parquet(path)
-    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
