@@ -9,114 +9,170 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import scratch_path, staged
 from . import letters as L
 from .pairs import FEW, LEADERS, few_pairs, prefix_pairs, verified
 
 SEGMENTS = 12
 LONG_WINDOW = 16
+SHORT = 32  # letters under which nucleotide texts are keyed by 8 letters, too
 _NUCLEOTIDE = np.zeros(256, bool)
 _NUCLEOTIDE[[ord(c) for c in "ACGTUN"]] = True
+_SEGMENT = "key long, id long, n long, place long"
 
 
-def substring_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def substring_hashes(data: np.ndarray, off: np.ndarray, short: int = SHORT) -> tuple[np.ndarray, np.ndarray]:
     """A hash for each place of each text at which 8 letters begin, and where each text's hashes start.
 
     Where the 8 letters are all nucleotide codes, of which there are too few to tell texts apart, the
-    hash takes the 16 letters from there, or what the text still has.
+    hash takes the 16 letters from there, unless the text ends before or has fewer than ``short`` letters.
     """
     at, starts = L.window_starts(off)
     h = L.mix(L.packed(data, L.WINDOW)[at] + np.uint64(1))
     few = np.concatenate([[0], np.cumsum(~_NUCLEOTIDE[data])])
-    plain = few[at + L.WINDOW] == few[at]
+    counts = np.diff(starts)
+    text_end, size = np.repeat(off[1:], counts), np.repeat(np.diff(off), counts)
+    plain = (few[at + L.WINDOW] == few[at]) & (at + LONG_WINDOW <= text_end) & (size >= short)
     if plain.any():
-        where = at[plain]
-        end = np.minimum(np.repeat(off[1:], np.diff(starts))[plain], where + LONG_WINDOW)
-        tail = L.mix(L.packed(data, L.WINDOW)[end - L.WINDOW] + L._A)  # the last 8 letters of the longer stretch
-        h[plain] = L.mix(h[plain] + tail + (end - where).astype(np.uint64))
+        h[plain] = L.mix(h[plain] + L.mix(L.packed(data, L.WINDOW)[at[plain] + LONG_WINDOW - L.WINDOW] + L._A))
     return h, starts
 
 
-def stored_segments(data: np.ndarray, off: np.ndarray, segments: int = SEGMENTS) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, key): of each of ``segments`` equal stretches of a text its substring of least hash."""
+def stored_segments(data: np.ndarray, off: np.ndarray, segments: int = SEGMENTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, key, position): of each of ``segments`` equal stretches of a text its substring of least hash."""
     h, starts = substring_hashes(data, off)
     counts = np.diff(starts)
     n = np.minimum(counts, segments)
     text = np.repeat(np.arange(len(counts)), n)
     k = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
     begin = starts[:-1][text] + k * counts[text] // n[text]
-    return text, np.minimum.reduceat(h, begin) if len(begin) else h[:0]
-
+    if not len(begin):
+        return text, h[:0], text
+    key = np.minimum.reduceat(h, begin)
+    where = np.flatnonzero(h == np.repeat(key, np.diff(begin, append=len(h))))
+    where = where[np.searchsorted(where, begin)]  # the first in each stretch
+    return text, key, where - starts[:-1][text]
 
-def probe_substrings(data: np.ndarray, off: np.ndarray, segments: int = SEGMENTS) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, key): the substrings of each text that a stored segment of a text up to twice as short could equal.
 
-    These are the least of some ``windows / (2 * segments)`` neighbours. The least substring of a stored
-    stretch that stands whole in the probing text is always among them, wherever it has moved to.
-    """
-    h, starts = substring_hashes(data, off)
+def _least_of_neighbours(h: np.ndarray, starts: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     counts = np.diff(starts)
     reach = np.maximum(counts // (2 * segments), 1)
-    picked_text, picked = [], []
+    texts, keys, places = [], [], []
     for w in np.unique(reach):  # texts with the same reach together
         own = np.flatnonzero((reach == w) & (counts > 0))
         size = counts[own]
         at = np.arange(int(size.sum())) + np.repeat(starts[:-1][own] - (np.cumsum(size) - size), size)
-        x, text = h[at], np.repeat(own, size)
-        low, span = x.copy(), 1
+        low, text, pos = h[at], np.repeat(own, size), at - np.repeat(starts[:-1][own], size)
+        span = 1
         while span < w:  # minimum of the w values from each place on, by doubling
             step = min(span, w - span)
-            low[:-step] = np.minimum(low[:-step], low[step:])
+            less = low[step:] < low[:-step]
+            low[:-step] = np.where(less, low[step:], low[:-step])
+            pos[:-step] = np.where(less, pos[step:], pos[:-step])
             span += step
-        ok = np.zeros(len(x), bool)
-        if len(x) >= w:
-            ok[: len(x) - w + 1] = text[: len(x) - w + 1] == text[w - 1 :]
-        picked_text.append(text[ok])
-        picked.append(low[ok])
-    if not picked:
-        return np.zeros(0, np.int64), h[:0]
-    text, key = np.concatenate(picked_text), np.concatenate(picked)
-    new = np.concatenate([[True], (text[1:] != text[:-1]) | (key[1:] != key[:-1])]) if len(text) else np.zeros(0, bool)
-    return text[new], key[new]
+        ok = np.zeros(len(low), bool)
+        if len(low) >= w:
+            ok[: len(low) - w + 1] = text[: len(low) - w + 1] == text[w - 1 :]
+        ok[1:] &= ~ok[:-1] | (text[1:] != text[:-1]) | (low[1:] != low[:-1])
+        texts.append(text[ok])
+        keys.append(low[ok])
+        places.append(pos[ok])
+    if not texts:
+        return np.zeros(0, np.int64), h[:0], np.zeros(0, np.int64)
+    return np.concatenate(texts), np.concatenate(keys), np.concatenate(places)
+
+
+def probe_substrings(data: np.ndarray, off: np.ndarray, segments: int = SEGMENTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, key, position): the substrings of each text that a stored segment of a text up to twice as short could equal.
+
+    These are the least of some ``windows / (2 * segments)`` neighbours. The least substring of a stored
+    stretch that stands whole in the probing text is always among them, wherever it has moved to. Texts
+    that may meet ones under ``SHORT`` letters are probed with 8-letter keys as well.
+    """
+    text, key, pos = _least_of_neighbours(*substring_hashes(data, off), segments)
+    own = np.flatnonzero((np.diff(off) >= SHORT) & (np.diff(off) < 2 * SHORT + L.WINDOW))
+    size = np.diff(off)[own]
+    if len(own):
+        at = np.arange(int(size.sum())) + np.repeat(off[:-1][own] - (np.cumsum(size) - size), size)
+        t, k, p = _least_of_neighbours(*substring_hashes(data[at], np.concatenate([[0], np.cumsum(size)]), 1 << 30), segments)
+        text, key, pos = np.concatenate([text, own[t]]), np.concatenate([key, k]), np.concatenate([pos, p])
+    return text, key, pos
+
+
+def _distinct_counts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    code = L.packed(data, L.WINDOW)
+    out = np.zeros(len(off) - 1, np.int64)
+    for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
+        if b - a >= L.WINDOW:
+            w = np.sort(code[a : b - L.WINDOW + 1])
+            out[i] = 1 + np.count_nonzero(w[1:] != w[:-1])
+    return out
 
 
 def _keys(texts: DataFrame, cut, segments: int) -> DataFrame:
+    """(key, id, n, place) of the texts' substrings; n counts a text's distinct windows, place holds its length and the position."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                text, key = cut(*L.buffers(batch.column(1)), segments)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(batch.column(0).to_numpy()[text])], names=["key", "id"])
+                data, off = L.buffers(batch.column(1))
+                text, key, pos = cut(data, off, segments)
+                n, place = _distinct_counts(data, off)[text], (np.diff(off)[text] << 32) | pos
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(batch.column(0).to_numpy()[text]), pa.array(n), pa.array(place)], names=["key", "id", "n", "place"])
+
+    return texts.select("id", "letters").mapInArrow(run, _SEGMENT)
 
-    return texts.select("id", "letters").mapInArrow(run, "key long, id long")
 
+def edit_bound(n_a, n_b, at_least: float, segments: int = SEGMENTS):
+    """Edits (of single letters) that leave two texts of so many distinct windows at the similarity for certain.
+
+    An edit takes at most 8 windows from a text and adds at most 8, so after d edits the similarity is at
+    least ``(n - 8 d) / (n + 8 d)``. With fewer edits than segments one stored segment stays whole.
+    """
+    return np.minimum(segments - 1, np.maximum(n_a, n_b) * (1 - at_least) // (8 * (1 + at_least))).astype(np.int64)
 
-_CAND = "kind int, key long, a long, b long"
 
+_CAND = "kind int, key long, a long, b long, bound int"
 
-def candidates(stored: DataFrame, probes: DataFrame, leaders: int = LEADERS) -> DataFrame:
+
+def candidates(stored: DataFrame, probes: DataFrame, leaders: int = LEADERS, at_least: float = 0.5, segments: int = SEGMENTS) -> DataFrame:
     """Kind 0: (probe a, stored b) with a key in common, b among the first ``leaders`` of the key.
 
+    Pairs whose numbers of distinct windows already rule the similarity out are left out. bound is the
+    ``edit_bound`` of a pair whose lengths and whose substrings' positions differ by no more than it, else 0.
     A key with more stored texts pairs each probe with the first ``FEW`` only, and also gives kind 1 rows (key,
     probe a) and kind 2 rows (key, every other stored b). Sorting is Spark's; the scan holds one batch and
     ``leaders`` ids.
     """
-    both = stored.select("key", F.col("id"), F.lit(0).alias("probe")).unionByName(probes.select("key", "id", F.lit(1).alias("probe")))
-
-    def out(kind: int, key: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(key), pa.array(a), pa.array(b)], names=["kind", "key", "a", "b"])
+    cols = [F.col(c) for c in ("key", "id", "n", "place")]
+    both = stored.select(*cols, F.lit(0).alias("probe")).unionByName(probes.select(*cols, F.lit(1).alias("probe")))
+
+    def out(kind: int, key: np.ndarray, a: np.ndarray, b: np.ndarray, bound: np.ndarray | None = None) -> pa.RecordBatch:
+        bound = np.zeros(len(a), np.int32) if bound is None else bound.astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(key), pa.array(a), pa.array(b), pa.array(bound)], names=["kind", "key", "a", "b", "bound"])
+
+    def pairs(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        """Of columns (id, n, place) of both sides."""
+        ok = np.minimum(a[1], b[1]) >= at_least * np.maximum(a[1], b[1])
+        key, a, b = key[ok], a[:, ok], b[:, ok]
+        bound = edit_bound(a[1], b[1], at_least, segments)
+        low = np.int64(0xFFFFFFFF)
+        near = (np.abs((a[2] >> 32) - (b[2] >> 32)) <= bound) & (np.abs((a[2] & low) - (b[2] & low)) <= bound)
+        return out(0, key, a[0], b[0], np.where(near, bound, 0))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ck, lead, more = None, np.zeros(0, np.int64), False  # the key at the last batch's end, its leaders, has it others
+        ck, lead, more = None, np.zeros((3, 0), np.int64), False  # the key at the last batch's end, its leaders, has it others
         for batch in batches:
-            key, ids, probe = (batch.column(i).to_numpy() for i in range(3))
+            key, *cols, probe = (batch.column(i).to_numpy() for i in range(5))
             if not len(key):
                 continue
+            cols = np.stack(cols)
+            ids = cols[0]
             begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             end = np.concatenate([begin[1:], [len(key)]])
             first_probe = begin + np.add.reduceat(1 - probe.astype(np.int64), begin)  # stored rows come first
             n_stored, n_probe = first_probe - begin, end - first_probe
-            old = len(lead) if ck is not None and key[0] == ck else 0
-            ks, pa_, pb = [], [], []
+            old = lead.shape[1] if ck is not None and key[0] == ck else 0
             # All keys but the first (which may go on from the last batch) with few stored ids, at once.
             small = np.flatnonzero((n_stored > 0) & (n_probe > 0) & (n_stored <= leaders))
             if old:
@@ -125,36 +181,34 @@ def candidates(stored: DataFrame, probes: DataFrame, leaders: int = LEADERS) ->
                 reps = n_probe[small] * n_stored[small]
                 base = np.arange(int(reps.sum())) - np.repeat(np.cumsum(reps) - reps, reps)
                 ns = np.repeat(n_stored[small], reps)
-                ks.append(np.repeat(key[begin[small]], reps))
-                pa_.append(ids[np.repeat(first_probe[small], reps) + base // ns])
-                pb.append(ids[np.repeat(begin[small], reps) + base % ns])
+                left, right = np.repeat(first_probe[small], reps) + base // ns, np.repeat(begin[small], reps) + base % ns
+                yield pairs(np.repeat(key[begin[small]], reps), cols[:, left], cols[:, right])
             one = [int(i) for i in np.flatnonzero(n_stored > leaders)]
             for i in sorted({*one, *([0] if old else [])}):
                 s, p, e, k = begin[i], first_probe[i], end[i], key[begin[i]]
-                carried, had = (lead, more) if i == 0 and old else (np.zeros(0, np.int64), False)
-                room = leaders - len(carried)
-                mine = np.concatenate([carried, ids[s : min(p, s + room)]])
+                carried, had = (lead, more) if i == 0 and old else (np.zeros((3, 0), np.int64), False)
+                room = leaders - carried.shape[1]
+                mine = np.concatenate([carried, cols[:, s : min(p, s + room)]], axis=1)
                 late = ids[min(p, s + room) : p]
                 has = had or len(late) > 0
                 if len(late):  # once a key is long, its leaders after the first few are left open as well
-                    rest = late if had else np.concatenate([mine[FEW:], late])
+                    rest = late if had else np.concatenate([mine[0, FEW:], late])
                     yield out(2, np.full(len(rest), k), rest, rest)
-                if e > p and len(mine):
-                    met = mine[:FEW] if has else mine
+                if e > p and mine.shape[1]:
+                    met = mine[:, :FEW] if has else mine
                     for at in range(p, e, 4096):
-                        q = ids[at : min(at + 4096, e)]
-                        yield out(0, np.full(len(q) * len(met), k), np.repeat(q, len(met)), np.tile(met, len(q)))
+                        q = cols[:, at : min(at + 4096, e)]
+                        m = q.shape[1] * met.shape[1]
+                        yield pairs(np.full(m, k), np.repeat(q, met.shape[1], axis=1), np.tile(met, q.shape[1]))
                     if has:
                         yield out(1, np.full(e - p, k), ids[p:e], ids[p:e])
                 if i == len(begin) - 1:
                     lead_next, more_next = mine, has
-            if ks:
-                yield out(0, np.concatenate(ks), np.concatenate(pa_), np.concatenate(pb))
             i = len(begin) - 1
             if n_stored[i] > leaders or (i == 0 and old):
                 lead, more = lead_next, more_next
             else:
-                lead, more = ids[begin[i] : first_probe[i]], False
+                lead, more = cols[:, begin[i] : first_probe[i]], False
             ck = key[-1]
 
     return both.repartition("key").sortWithinPartitions("key", "probe", "id").mapInArrow(scan, _CAND)
@@ -166,25 +220,28 @@ def micros(time: Column) -> Column:
 
 
 def first_texts(df: DataFrame, id_col: str, text_col: str, time_col: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, texts): the usable rows as (id, at, letters), and each distinct text at its first arrival."""
+    """(rows, texts): the usable rows as (id, at, h), and each distinct text (id, at, h, letters) at its first arrival; h is a digest of the letters."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), micros(F.col(time_col)).alias("at"), L.letters(F.col(text_col)).alias("letters")).where(F.col("id").isNotNull() & F.col("at").isNotNull() & (F.length("letters") >= L.WINDOW))
-    texts = rows.groupBy("letters").agg(F.min(F.struct("at", "id")).alias("f")).select("letters", F.col("f.at").alias("at"), F.col("f.id").alias("id"))
-    return rows, texts
+    h = F.unhex(F.sha2("letters", 256)).alias("h")
+    texts = rows.groupBy("letters").agg(F.min(F.struct("at", "id")).alias("f")).select("f.id", "f.at", h, "letters")
+    return rows.select("id", "at", h), texts
 
 
-def earlier_similar(texts: DataFrame, stored: DataFrame, probes: DataFrame, at_least: float, leaders: int = LEADERS) -> DataFrame:
+def earlier_similar(texts: DataFrame, stored: DataFrame, probes: DataFrame, at_least: float, leaders: int = LEADERS, segments: int = SEGMENTS) -> DataFrame:
     """(id) of the probing texts to which some text that arrived earlier has a similarity of ``at_least``.
 
-    ``texts`` (id, at, letters) has all texts; ``stored`` and ``probes`` their keys (key, id). Probes that
-    a long key's leaders don't settle are compared with its other stored texts, or, where those are many
-    pairs, through their rare windows.
+    ``texts`` (id, at, letters) has all texts; ``stored`` and ``probes`` their keys. Of the texts only those
+    that some probe met are taken up. Probes that a long key's leaders don't settle are compared with its
+    other stored texts, or, where those are many pairs, through their rare windows.
     """
-    cand = staged(candidates(stored, probes, leaders), "cand")
+    cand = staged(candidates(stored, probes, leaders, at_least, segments), "cand")
+    met = cand.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = texts.join(met, "id", "left_semi")
 
     def checked(pairs: DataFrame) -> DataFrame:
-        return verified(pairs.where("a <> b").distinct(), texts, at_least, earlier=True).select(F.col("a").alias("id")).distinct()
+        return verified(pairs, texts, at_least, earlier=True).select(F.col("a").alias("id")).distinct()
 
-    found = checked(cand.where("kind = 0").select("a", "b"))
+    found = checked(cand.where("kind = 0 and a <> b").groupBy("a", "b").agg(F.max("bound").alias("bound")))
     probing, further = cand.where("kind = 1").select("key", "a"), cand.where("kind = 2").select("key", "b")
     if further.isEmpty():
         return found
@@ -193,42 +250,25 @@ def earlier_similar(texts: DataFrame, stored: DataFrame, probes: DataFrame, at_l
     left_open = probing.join(found.withColumnRenamed("id", "a"), "a", "left_anti").distinct()
     left_open = staged(left_open.join(far.groupBy("key").agg(F.count("*").alias("n")), "key"), "open")
     if few_pairs(left_open.agg(F.sum("n")), far):
-        return found.unionByName(checked(left_open.join(far, "key").select("a", "b"))).distinct()
+        return found.unionByName(checked(left_open.join(far, "key").select("a", "b").where("a <> b").distinct())).distinct()
     open_ = left_open.select("a").distinct()
     left = texts.join(open_.withColumnRenamed("a", "id"), "id", "left_semi")
     right = texts.join(far.select(F.col("b").alias("id")), "id", "left_semi")
     return found.unionByName(checked(prefix_pairs(left, right, at_least))).distinct()
 
 
-def repeats_since(df: DataFrame, since: str, id_col: str = "sequence_id", text_col: str = "sequence", time_col: str = "created_at", at_least: float = 0.5, segments: int = SEGMENTS, leaders: int = LEADERS) -> DataFrame:
-    """(id) of the rows created at or after ``since`` that repeat, or nearly repeat, an earlier row.
-
-    Earlier means a smaller time, then a smaller id; all batches since then are checked in one pass,
-    which gives what checking them day by day against a ``SegmentIndex`` gives.
-
-    A row whose letters arrived before needs no index. Of each other text ``segments`` segments are
-    stored; texts of the new batches are probed with selected substrings; what meets is verified by its
-    exact window similarity (a bound on the edit distance would miss moved stretches and long gains).
-
-    Rows with null id, time or text, or fewer than 8 letters, are no case and no partner; equal times are
-    ordered by id; repeated rows count once; an empty table gives no rows.
-    """
-    rows, texts = first_texts(df, id_col, text_col, time_col)
-    texts = staged(texts, "texts")
-    start = micros(F.lit(since))
-    new = texts.where(F.col("at") >= start)
-    near = earlier_similar(texts, _keys(texts, stored_segments, segments), _keys(new, probe_substrings, segments), at_least, leaders)
-    keyed = rows.select("id", "at", F.unhex(F.sha2("letters", 256)).alias("h"))
-    first = keyed.groupBy("h").agg(F.min(F.struct("at", "id")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    again = keyed.where(F.col("at") >= start).join(first.select("h", "f"), "h").where("id <> f.id").select("id")
-    return near.unionByName(again).distinct()
-
-
 class SegmentIndex:
     """A segment index over accepted records in a folder: new batches are probed against it and then appended.
 
-    Tables under ``path``: ``texts`` (id, at, letters) and ``segments`` (key, id). A batch reads the index
-    but not the records' source tables, and adds its own texts and segments as new files.
+    Tables under ``path``: ``texts`` (id, at, h, letters), one row per distinct text, and ``segments`` (key,
+    id, n, place): a fixed number of stretches of each text, each by its least substring, with the text's
+    length and the substring's position.
+
+    A batch is probed with its own selected substrings. What it meets is verified by a bounded edit
+    distance where lengths and positions allow one, and else by the window similarity, as moved stretches
+    and long gains have no such bound. Both the digests and the segments of the history are cut down to
+    what the batch names by semi-joins (broadcasts while the batch is small) before anything is shuffled,
+    and of the texts only those that some probe met are fetched. Appending writes new files only.
     """
 
     def __init__(self, spark: SparkSession, path: str, segments: int = SEGMENTS, at_least: float = 0.5, leaders: int = LEADERS):
@@ -243,32 +283,71 @@ class SegmentIndex:
             raise
 
     def texts(self) -> DataFrame:
-        return self._read("texts", "id long, at long, letters string")
+        return self._read("texts", "id long, at long, h binary, letters string")
 
     def segment_rows(self) -> DataFrame:
-        return self._read("segments", "key long, id long")
-
-    def check(self, batch: DataFrame, id_col: str = "sequence_id", text_col: str = "sequence", time_col: str = "created_at") -> DataFrame:
-        """(id) of the batch's rows that repeat an accepted text or an earlier row of the batch.
+        return self._read("segments", _SEGMENT)
 
-        Accepted texts count as earlier whatever their time. The result is written before the index may grow.
-        """
+    def _own(self, batch: DataFrame, id_col: str, text_col: str, time_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(rows, texts that the index has, texts that it lacks) of a batch."""
         rows, own = first_texts(batch, id_col, text_col, time_col)
         own = staged(own, "batch")
-        old = self.texts()
-        known = own.join(old.select("letters"), "letters", "left_semi").select("letters")
-        new = own.join(known, "letters", "left_anti")
-        texts = old.select("id", F.lit(None).cast("long").alias("at"), "letters").unionByName(new.select("id", "at", "letters"))
-        texts = texts.withColumn("at", F.coalesce("at", F.lit(-(2**62))))
-        stored = self.segment_rows().unionByName(_keys(new, stored_segments, self.segments))
-        near = earlier_similar(texts, stored, _keys(new, probe_substrings, self.segments), self.at_least, self.leaders)
-        again = rows.join(own.select("letters", F.col("id").alias("f")), "letters").where("id <> f").select("id")
-        seen = rows.join(known, "letters", "left_semi").select("id")
-        return staged(near.unionByName(again).unionByName(seen).distinct(), "repeats")
+        known = self.texts().select("h").join(own.select("h"), "h", "left_semi").distinct()
+        own = staged(own.join(known.withColumn("old", F.lit(True)), "h", "left"), "batch")
+        return rows, own.where("old").drop("old"), own.where("old is null").drop("old")
+
+    def check(self, batch: DataFrame, id_col: str = "sequence_id", text_col: str = "sequence", time_col: str = "created_at", append: bool = False) -> DataFrame:
+        """(id) of the batch's rows that repeat, or nearly repeat, an accepted text or an earlier row of the batch.
+
+        Earlier means a smaller time, then a smaller id; accepted texts count as earlier whatever their
+        time. The result is written before the index may grow; with ``append`` the batch then joins it.
+
+        Rows with null id, time or text, or fewer than 8 letters, are no case and no partner; equal times are
+        ordered by id; repeated rows count once; an empty batch gives no rows.
+        """
+        rows, known, new = self._own(batch, id_col, text_col, time_col)
+        fresh = staged(_keys(new, stored_segments, self.segments), "segments")
+        probes = staged(_keys(new, probe_substrings, self.segments), "probes")
+        stored = self.segment_rows().join(probes.select("key").distinct(), "key", "left_semi").unionByName(fresh)
+        first = F.lit(-(2**62)).cast("long")
+        texts = self.texts().select("id", first.alias("at"), "letters").unionByName(new.select("id", "at", "letters"))
+        near = earlier_similar(texts, stored, probes, self.at_least, self.leaders, self.segments)
+        again = rows.join(new.select("h", F.col("id").alias("f")), "h").where("id <> f").select("id")
+        seen = rows.join(known.select("h"), "h", "left_semi").select("id")
+        out = staged(near.unionByName(again).unionByName(seen).distinct(), "repeats")
+        if append:
+            self._grow(new, fresh)
+        return out
 
     def append(self, batch: DataFrame, id_col: str = "sequence_id", text_col: str = "sequence", time_col: str = "created_at") -> None:
         """Adds the batch's texts that the index lacks."""
-        _, own = first_texts(batch, id_col, text_col, time_col)
-        new = staged(own.join(self.texts().select("letters"), "letters", "left_anti").select("id", "at", "letters"), "append")
-        new.write.mode("append").parquet(f"{self.path}/texts")
-        _keys(new, stored_segments, self.segments).write.mode("append").parquet(f"{self.path}/segments")
+        _, _, new = self._own(batch, id_col, text_col, time_col)
+        self._grow(new, _keys(new, stored_segments, self.segments))
+
+    def _grow(self, new: DataFrame, segments: DataFrame) -> None:
+        # Texts last: an append that broke off and is done again then finds them missing, and segments may repeat.
+        segments.write.mode("append").parquet(f"{self.path}/segments")
+        new.select("id", "at", "h", "letters").write.mode("append").parquet(f"{self.path}/texts")
+
+
+def repeats_since(df: DataFrame, since: str, id_col: str = "sequence_id", text_col: str = "sequence", time_col: str = "created_at", lot: str = "month", path: str | None = None, **index: float) -> DataFrame:
+    """(id) of the rows created at or after ``since`` that repeat, or nearly repeat, an earlier row.
+
+    The rows before ``since`` are appended to a ``SegmentIndex`` (at ``path``, else in the shared folder); the
+    others come in lots, in order of time, each checked against the index and its own earlier rows and
+    then appended. A lot is a ``day``, ``week`` or ``month``: the result is the same, as rows within a lot are
+    compared in their order, and larger lots take fewer jobs. Nulls and ties as in ``SegmentIndex.check``.
+    """
+    spark = df.sparkSession
+    ix = SegmentIndex(spark, path or scratch_path(spark, "index"), **index)
+    time = F.col(time_col).cast("timestamp_ntz")
+    start = F.lit(since).cast("timestamp_ntz")
+    ix.append(df.where(time < start), id_col, text_col, time_col)
+    new = df.where(time >= start)
+    cut = F.date_trunc(lot, time.cast("date")).cast("date")
+    lots = [r[0] for r in new.select(cut.alias("lot")).distinct().orderBy("lot").collect()]  # one for each day at most
+    out = None
+    for n, first in enumerate(lots):
+        found = ix.check(new.where(cut == F.lit(first)), id_col, text_col, time_col, append=n + 1 < len(lots))
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else spark.createDataFrame([], "id long")

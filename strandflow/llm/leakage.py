@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..session import staged
 from . import bloom
+from . import letters as L
 from .tokens import words, words_as_written
 
 SPAN = 13
@@ -221,6 +222,59 @@ def _windows(src: DataFrame, typing: Typing, span: int, min_literal: int, mask:
     return src.select("row", "id", "text").mapInArrow(scan, f"key long, {row} long, id {id_type}, {at_name} long, n long, w string, slots array<long>")
 
 
+def _distinct(group: np.ndarray, value: np.ndarray, groups: int) -> np.ndarray:
+    """Number of distinct values (places, or hashes, mixed with the group's number) of each group."""
+    if value.dtype == np.uint64:
+        code = L.mix(value + (group.astype(np.uint64) + np.uint64(1)) * L._A)
+        order = np.argsort(code)
+        code = code[order]
+        new = np.concatenate([[True], code[1:] != code[:-1]]) if len(code) else np.zeros(0, bool)
+        return np.bincount(group[order[new]], minlength=groups)
+    code = np.unique((group << 32) | value)
+    return np.bincount(code >> 32, minlength=groups)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of each document and item, of window pairs in which the rows of a document stand together."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+
+    def done(table: pa.Table) -> pa.RecordBatch:
+        t = table.combine_chunks()
+        row, item, n, at, item_at, same = (t.column(c).to_numpy() for c in ("row", "item_row", "item_n", "at", "item_at", "same"))
+        order = np.lexsort((item, row))
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(row[order]) != 0) | (np.diff(item[order]) != 0)]))
+        group = np.empty(len(row), np.int64)
+        group[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(row)))
+        k, of = len(first), order[first]
+        exact, places, met = _distinct(group[same], at[same], k), _distinct(group, at, k), _distinct(group, item_at, k)
+        x, y = (t.column(c).combine_chunks() for c in ("slots", "item_slots"))
+        each = np.repeat(group, x.value_lengths().to_numpy())
+        x, y = (c.flatten().to_numpy().view(np.uint64) for c in (x, y))
+        with np.errstate(over="ignore"):
+            xy = (x ^ (x >> np.uint64(32))) * _P + y
+        pairs = _distinct(each, xy, k)
+        consistent = (_distinct(each, x, k) == pairs) & (_distinct(each, y, k) == pairs)
+        ids, names = t.column("id").combine_chunks().take(pa.array(of)), t.column("item").combine_chunks().take(pa.array(of))
+        return pa.RecordBatch.from_arrays([ids, names, pa.array(exact), pa.array(places - exact), pa.array(consistent), pa.array(met / n[of])], names=["id", "item", "exact_windows", "template_windows", "consistent", "item_share"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= CHUNK // 4:
+            table = pa.Table.from_batches(held)
+            row = table.column("row").to_numpy()
+            cut = int(np.searchsorted(row, row[-1]))  # the last document may go on
+            if cut:
+                yield done(table.slice(0, cut))
+            held = table.slice(cut).combine_chunks().to_batches()
+            rows = table.num_rows - cut
+    if held:
+        yield done(pa.Table.from_batches(held))
+
+
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "item_text", span: int = SPAN, min_literal: int = MIN_LITERAL, slots: str = "consistent", rare: float = RARE, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """(id, item, exact_windows, template_windows, consistent, item_share, kind) for each document and item with a window in common.
 
@@ -251,19 +305,15 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     bits = bloom.size_for(n, 16, FILTER_BITS)
     mask = bloom.merged_filter(there.select("key"), lambda b: b.column(0).to_numpy().view(np.uint64), bits, twice=False)
     here = staged(_windows(src, typing, span, min_literal, mask, ("row", "at")).drop("n"), "hits")
-    if n <= broadcast_windows:  # the rows of a document then stay together for the grouping
-        here, there = here.repartition("row"), F.broadcast(there)
     same = F.col("w") == F.col("item_w")
-    met = here.join(there, "key")
-    if slots == "same":
-        met = met.where(same)
-    per = met.groupBy("row", "id", "item_row", "item", "item_n").agg(
-        F.collect_set(F.when(same, F.col("at"))).alias("exact"), F.collect_set("at").alias("places"), F.count_distinct("item_at").alias("met"),
-        F.collect_set(F.struct("slots", "item_slots")).alias("m"),
-    )
-    x, y = F.flatten("m.slots"), F.flatten("m.item_slots")
-    sizes = [F.size(F.array_distinct(c)) for c in (x, y, F.zip_with(x, y, lambda a, b: F.xxhash64(a, b)))]
-    share = F.col("met") / F.col("item_n")
-    per = per.select("id", "item", F.size("exact").cast("long").alias("exact_windows"), F.size(F.array_except("places", "exact")).cast("long").alias("template_windows"), ((sizes[0] == sizes[2]) & (sizes[1] == sizes[2])).alias("consistent"), share.alias("item_share"))
+    cols = ["row", "id", "item_row", "item", "item_n", "at", "item_at", same.alias("same"), "slots", "item_slots"]
+    if n <= broadcast_windows:
+        met = here.repartition("row").sortWithinPartitions("row").join(F.broadcast(there), "key")
+        met = (met.where(same) if slots == "same" else met).select(*cols)
+    else:
+        met = here.join(there, "key")
+        met = (met.where(same) if slots == "same" else met).select(*cols).repartition("row").sortWithinPartitions("row")
+    kinds = (docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString())
+    per = met.mapInArrow(_pairs, "id {}, item {}, exact_windows long, template_windows long, consistent boolean, item_share double".format(*kinds))
     kind = F.when(F.col("exact_windows") > 0, "exact").when(F.col("consistent") & (F.col("item_share") >= REWORKED), "reworked").otherwise("frame")
     return per.withColumn("kind", kind)

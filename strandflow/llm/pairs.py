@@ -15,6 +15,7 @@ from . import letters as L
 
 LEADERS = 64  # ids up to which a key gives all its pairs
 FEW = 8  # ids of a longer key that all its others are paired with
+KEPT = 2000  # texts of which a task keeps the windows
 RUNS = "kind int, key long, a long, b long"
 _RUNS = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
@@ -132,9 +133,11 @@ def prefix_pairs(left: DataFrame, right: DataFrame, at_least: float) -> DataFram
 def verified(pairs: DataFrame, texts: DataFrame, at_least: float, earlier: bool = False) -> DataFrame:
     """The pairs (a, b) whose texts have a window similarity of ``at_least``; with ``earlier`` only those in which b came before a.
 
-    ``texts`` is (id, letters), for ``earlier`` also ``at``; of equal times the smaller id came first. Both
-    joins ask for the texts by id, so Spark shuffles them once and reads that exchange twice; only the left
-    text travels with the pairs.
+    ``texts`` is (id, letters), for ``earlier`` also ``at``; of equal times the smaller id came first. Pairs may
+    have a ``bound``: texts within so many edits are similar for certain (0: no such bound), so the bounded
+    edit distance settles them, and only the others' windows are compared. Both joins ask for the texts by
+    id, so Spark shuffles them once and reads that exchange twice; only the left text travels with the
+    pairs. Windows of a text that comes again among the last ``KEPT`` are not made again.
     """
     at = F.col("at") if earlier else F.lit(0).cast("long").alias("at")
     t = texts.select("id", "letters", at)
@@ -142,17 +145,27 @@ def verified(pairs: DataFrame, texts: DataFrame, at_least: float, earlier: bool
     joined = pairs.join(left, "a").join(right, "b")
     if earlier:
         joined = joined.where("at_b < at_a or (at_b = at_a and b < a)")
+    sure = F.lit(False)
+    if "bound" in pairs.columns:
+        sure = F.when(F.col("bound") > 0, F.expr("levenshtein(ta, tb, bound)") >= 0).otherwise(False)
+    joined = joined.withColumn("sure", sure)
+    open_ = lambda c: F.when(~F.col("sure"), F.col(c)).otherwise("")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, np.ndarray] = {}
+
+        def windows(key: int, data: np.ndarray) -> np.ndarray:
+            if key not in kept:
+                if len(kept) >= KEPT:
+                    kept.clear()
+                kept[key] = np.unique(L.packed(data, L.WINDOW)) if len(data) >= L.WINDOW else np.zeros(0, np.uint64)
+            return kept[key]
+
         for batch in batches:
-            a, b, ta, tb = (batch.column(i) for i in range(4))
-            (da, oa), (db, ob) = L.buffers(ta), L.buffers(tb)
-            keep = np.zeros(len(a), bool)
-            for i in range(len(a)):
-                na, nb = oa[i + 1] - oa[i], ob[i + 1] - ob[i]
-                x = np.unique(L.packed(da[oa[i] : oa[i + 1]], L.WINDOW)) if na >= L.WINDOW else np.zeros(0, np.uint64)
-                y = np.unique(L.packed(db[ob[i] : ob[i + 1]], L.WINDOW)) if nb >= L.WINDOW else np.zeros(0, np.uint64)
-                keep[i] = L.similarity(x, y) >= at_least
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep))
-
-    return joined.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
+            a, b, keep = (batch.column(i).to_numpy(zero_copy_only=False).copy() for i in (0, 1, 2))
+            (da, oa), (db, ob) = L.buffers(batch.column(3)), L.buffers(batch.column(4))
+            for i in np.flatnonzero(~keep).tolist():
+                keep[i] = L.similarity(windows(int(a[i]), da[oa[i] : oa[i + 1]]), windows(int(b[i]), db[ob[i] : ob[i + 1]])) >= at_least
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+    return joined.select("a", "b", "sure", open_("ta").alias("ta"), open_("tb").alias("tb")).mapInArrow(check, "a long, b long")

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandflow import session
 from strandflow.llm import arrivals, bloom, near
 from strandflow.llm import letters as L
 from strandflow.llm.arrivals import SegmentIndex, repeats_since
@@ -146,8 +147,8 @@ def test_repeats_are_those_of_brute_force(spark, rows, leaders, rare, monkeypatc
 
 @pytest.mark.parametrize("batch", [10000, 7])
 def test_long_keys_leave_no_stored_text_out(spark, batch):
-    stored = spark.createDataFrame([(1, i) for i in range(60)] + [(2, i) for i in range(16)], "key long, id long")
-    probes = spark.createDataFrame([(k, i) for k in (1, 2) for i in (100, 101)], "key long, id long")
+    stored = spark.createDataFrame([(1, i) for i in range(60)] + [(2, i) for i in range(16)], "key long, id long").selectExpr("key", "id", "50L n", "0L place")
+    probes = spark.createDataFrame([(k, i) for k in (1, 2) for i in (100, 101)], "key long, id long").selectExpr("key", "id", "50L n", "0L place")
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)  # 7: the key becomes long in its third batch
     try:
@@ -175,6 +176,67 @@ def test_a_repeat_of_a_leader_of_long_keys_is_found(spark, tmp_path):
     assert {r[0] for r in index.check(df.where("sequence_id = 500")).collect()} == {500}
 
 
+def test_segments_within_the_edit_bound_always_meet():
+    """Every text within ``edit_bound`` edits of a stored one has a key in common with it, and the bound proves the similarity."""
+    rng = random.Random(21)
+    for alphabet in (AA, "ACGT"):
+        for _ in range(150):
+            s = text(rng, rng.randint(24, 400), alphabet)
+            bound = int(arrivals.edit_bound(len(windows(s)), 0, 0.5))
+            t = list(s)
+            for _ in range(rng.randint(1, max(1, bound))):
+                i = rng.randrange(len(t))
+                t[i : i + rng.randint(0, 1)] = rng.choice(["", rng.choice(alphabet)]) if len(t) > 20 else "A"
+            t = "".join(t)
+            of = lambda x: (np.frombuffer(x.encode(), np.uint8), np.array([0, len(x)]))
+            stored, probes = set(arrivals.stored_segments(*of(s))[1].tolist()), set(arrivals.probe_substrings(*of(t))[1].tolist())
+            if bound:
+                assert stored & probes, (s, t)
+                assert sim(windows(s), windows(t)) >= 0.5
+
+
+def test_positions_are_those_of_the_substrings():
+    rng = random.Random(22)
+    s = "".join(text(rng, 200) for _ in range(3))
+    off = np.array([0, 200, 230, 600])
+    data = np.frombuffer(s.encode(), np.uint8)
+    h, starts = arrivals.substring_hashes(data, off)
+    for cut in (arrivals.stored_segments, arrivals.probe_substrings):
+        t, key, pos = cut(data, off)
+        assert (h[starts[t] + pos] == key).all()
+
+
+@pytest.mark.parametrize("n", [16, 17, 25, 31, 33])
+def test_short_nucleotide_texts_that_differ_at_an_end_are_found(spark, n):
+    rng = random.Random(n)
+    s = text(rng, n, "ACGT")
+    at, new = datetime(2025, 9, 1), datetime(2025, 10, 2)
+    rows = [(1, s, at), (2, s[:-1] + ("A" if s[-1] != "A" else "C"), new), (3, s[1:], new), (4, s + "ACGT", new)]
+    got = {r[0] for r in repeats_since(spark.createDataFrame([(*r, "x", 1, None, "y") for r in rows], SCHEMA), "2025-10-01").collect()}
+    assert got == brute_repeats([(*r, 0) for r in rows], datetime(2025, 10, 1))
+
+
+@pytest.mark.parametrize("lot", ["week", "month"])
+def test_lots_of_any_size_give_the_same(spark, rows, lot):
+    got = {r[0] for r in repeats_since(spark.createDataFrame(rows, SCHEMA), "2025-10-01", lot=lot).collect()}
+    assert got == brute_repeats(rows, datetime(2025, 10, 1))
+
+
+def test_a_batch_shuffles_no_history(spark, tmp_path):
+    """What a small batch writes (staged tables) does not follow the size of the history."""
+    rng = random.Random(23)
+    at = datetime(2025, 9, 1)
+    size = {}
+    batch = [(10**6 + i, text(rng, 80), at + timedelta(days=40)) for i in range(20)]
+    for n in (300, 3000):
+        index = SegmentIndex(spark, str(tmp_path / f"index{n}"))
+        index.append(spark.createDataFrame([(i, text(rng, 80), at) for i in range(n)] + [(9999, batch[0][1][:-1] + "A", at)], "sequence_id long, sequence string, created_at timestamp_ntz"))
+        before = set(session._STAGED[spark.sparkContext.applicationId])
+        assert {r[0] for r in index.check(spark.createDataFrame(batch, "sequence_id long, sequence string, created_at timestamp_ntz")).collect()} == {10**6}
+        size[n] = sum(spark.read.parquet(p).count() for p in set(session._STAGED[spark.sparkContext.applicationId]) - before)
+    assert size[3000] == size[300]
+
+
 def test_daily_batches_over_an_index_give_the_same(spark, rows, tmp_path):
     df = spark.createDataFrame(rows, SCHEMA).where("created_at is not null and sequence_id is not null")
     cut = F.lit("2025-10-01").cast("timestamp_ntz")
