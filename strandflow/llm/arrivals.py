@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, staged
+from . import bloom
 from . import letters as L
 from .pairs import FEW, LEADERS, few_pairs, prefix_pairs, verified
 
@@ -18,7 +19,8 @@ LONG_WINDOW = 16
 SHORT = 32  # letters under which nucleotide texts are keyed by 8 letters, too
 _NUCLEOTIDE = np.zeros(256, bool)
 _NUCLEOTIDE[[ord(c) for c in "ACGTUN"]] = True
-_SEGMENT = "key long, id long, n long, place long"
+_SEGMENT = "key long, id long, place long"
+_PART = 21  # bits of each of the three numbers in a place; larger ones count as the largest, which loses no pair
 
 
 def substring_hashes(data: np.ndarray, off: np.ndarray, short: int = SHORT) -> tuple[np.ndarray, np.ndarray]:
@@ -110,19 +112,25 @@ def _distinct_counts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def _keys(texts: DataFrame, cut, segments: int) -> DataFrame:
-    """(key, id, n, place) of the texts' substrings; n counts a text's distinct windows, place holds its length and the position."""
+    """(key, id, place) of the texts' substrings; place holds a text's number of distinct windows, its length and the substring's position."""
+    most = (1 << _PART) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 data, off = L.buffers(batch.column(1))
                 text, key, pos = cut(data, off, segments)
-                n, place = _distinct_counts(data, off)[text], (np.diff(off)[text] << 32) | pos
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(batch.column(0).to_numpy()[text]), pa.array(n), pa.array(place)], names=["key", "id", "n", "place"])
+                n, size, pos = (np.minimum(x, most) for x in (_distinct_counts(data, off)[text], np.diff(off)[text], pos))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(batch.column(0).to_numpy()[text]), pa.array((n << 2 * _PART) | (size << _PART) | pos)], names=["key", "id", "place"])
 
     return texts.select("id", "letters").mapInArrow(run, _SEGMENT)
 
 
+def _unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    most = np.int64((1 << _PART) - 1)
+    return place >> 2 * _PART, (place >> _PART) & most, place & most
+
+
 def edit_bound(n_a, n_b, at_least: float, segments: int = SEGMENTS):
     """Edits (of single letters) that leave two texts of so many distinct windows at the similarity for certain.
 
@@ -144,7 +152,7 @@ def candidates(stored: DataFrame, probes: DataFrame, leaders: int = LEADERS, at_
     probe a) and kind 2 rows (key, every other stored b). Sorting is Spark's; the scan holds one batch and
     ``leaders`` ids.
     """
-    cols = [F.col(c) for c in ("key", "id", "n", "place")]
+    cols = [F.col(c) for c in ("key", "id", "place")]
     both = stored.select(*cols, F.lit(0).alias("probe")).unionByName(probes.select(*cols, F.lit(1).alias("probe")))
 
     def out(kind: int, key: np.ndarray, a: np.ndarray, b: np.ndarray, bound: np.ndarray | None = None) -> pa.RecordBatch:
@@ -152,18 +160,17 @@ def candidates(stored: DataFrame, probes: DataFrame, leaders: int = LEADERS, at_
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(key), pa.array(a), pa.array(b), pa.array(bound)], names=["kind", "key", "a", "b", "bound"])
 
     def pairs(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        """Of columns (id, n, place) of both sides."""
-        ok = np.minimum(a[1], b[1]) >= at_least * np.maximum(a[1], b[1])
-        key, a, b = key[ok], a[:, ok], b[:, ok]
-        bound = edit_bound(a[1], b[1], at_least, segments)
-        low = np.int64(0xFFFFFFFF)
-        near = (np.abs((a[2] >> 32) - (b[2] >> 32)) <= bound) & (np.abs((a[2] & low) - (b[2] & low)) <= bound)
-        return out(0, key, a[0], b[0], np.where(near, bound, 0))
+        """Of columns (id, place) of both sides."""
+        (na, la, pa_), (nb, lb, pb) = _unpacked(a[1]), _unpacked(b[1])
+        ok = np.minimum(na, nb) >= at_least * np.maximum(na, nb)
+        bound = edit_bound(na, nb, at_least, segments)
+        near = (np.abs(la - lb) <= bound) & (np.abs(pa_ - pb) <= bound)
+        return out(0, key[ok], a[0, ok], b[0, ok], np.where(near, bound, 0)[ok])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ck, lead, more = None, np.zeros((3, 0), np.int64), False  # the key at the last batch's end, its leaders, has it others
+        ck, lead, more = None, np.zeros((2, 0), np.int64), False  # the key at the last batch's end, its leaders, has it others
         for batch in batches:
-            key, *cols, probe = (batch.column(i).to_numpy() for i in range(5))
+            key, *cols, probe = (batch.column(i).to_numpy() for i in range(4))
             if not len(key):
                 continue
             cols = np.stack(cols)
@@ -186,7 +193,7 @@ def candidates(stored: DataFrame, probes: DataFrame, leaders: int = LEADERS, at_
             one = [int(i) for i in np.flatnonzero(n_stored > leaders)]
             for i in sorted({*one, *([0] if old else [])}):
                 s, p, e, k = begin[i], first_probe[i], end[i], key[begin[i]]
-                carried, had = (lead, more) if i == 0 and old else (np.zeros((3, 0), np.int64), False)
+                carried, had = (lead, more) if i == 0 and old else (np.zeros((2, 0), np.int64), False)
                 room = leaders - carried.shape[1]
                 mine = np.concatenate([carried, cols[:, s : min(p, s + room)]], axis=1)
                 late = ids[min(p, s + room) : p]
@@ -235,8 +242,8 @@ def earlier_similar(texts: DataFrame, stored: DataFrame, probes: DataFrame, at_l
     other stored texts, or, where those are many pairs, through their rare windows.
     """
     cand = staged(candidates(stored, probes, leaders, at_least, segments), "cand")
-    met = cand.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = texts.join(met, "id", "left_semi")
+    met = cand.select(F.explode(F.array("a", "b")).alias("id"))
+    texts = staged(bloom.passing(texts, "id", bloom.filter_of(met, 2 * cand.count())), "met")
 
     def checked(pairs: DataFrame) -> DataFrame:
         return verified(pairs, texts, at_least, earlier=True).select(F.col("a").alias("id")).distinct()
@@ -266,9 +273,10 @@ class SegmentIndex:
 
     A batch is probed with its own selected substrings. What it meets is verified by a bounded edit
     distance where lengths and positions allow one, and else by the window similarity, as moved stretches
-    and long gains have no such bound. Both the digests and the segments of the history are cut down to
-    what the batch names by semi-joins (broadcasts while the batch is small) before anything is shuffled,
-    and of the texts only those that some probe met are fetched. Appending writes new files only.
+    and long gains have no such bound. The history's digests, segments and texts are cut down where they
+    are to what the batch names, its segments and texts by filters of the probes and of the ids met (at most
+    64 MB; a batch beyond that lets more through and loses nothing), so only as much moves as the batch
+    needs. Appending writes new files only.
     """
 
     def __init__(self, spark: SparkSession, path: str, segments: int = SEGMENTS, at_least: float = 0.5, leaders: int = LEADERS):
@@ -291,10 +299,11 @@ class SegmentIndex:
     def _own(self, batch: DataFrame, id_col: str, text_col: str, time_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(rows, texts that the index has, texts that it lacks) of a batch."""
         rows, own = first_texts(batch, id_col, text_col, time_col)
-        own = staged(own, "batch")
-        known = self.texts().select("h").join(own.select("h"), "h", "left_semi").distinct()
-        own = staged(own.join(known.withColumn("old", F.lit(True)), "h", "left"), "batch")
-        return rows, own.where("old").drop("old"), own.where("old is null").drop("old")
+        own, old = staged(own, "batch"), self.texts()
+        if old.isEmpty():
+            return rows, own.limit(0), own
+        known = staged(old.select("h").join(own.select("h"), "h", "left_semi").distinct(), "known")
+        return rows, own.join(known, "h", "left_semi"), own.join(known, "h", "left_anti")
 
     def check(self, batch: DataFrame, id_col: str = "sequence_id", text_col: str = "sequence", time_col: str = "created_at", append: bool = False) -> DataFrame:
         """(id) of the batch's rows that repeat, or nearly repeat, an accepted text or an earlier row of the batch.
@@ -308,7 +317,7 @@ class SegmentIndex:
         rows, known, new = self._own(batch, id_col, text_col, time_col)
         fresh = staged(_keys(new, stored_segments, self.segments), "segments")
         probes = staged(_keys(new, probe_substrings, self.segments), "probes")
-        stored = self.segment_rows().join(probes.select("key").distinct(), "key", "left_semi").unionByName(fresh)
+        stored = bloom.passing(self.segment_rows(), "key", bloom.filter_of(probes.select("key"), probes.count())).unionByName(fresh)
         first = F.lit(-(2**62)).cast("long")
         texts = self.texts().select("id", first.alias("at"), "letters").unionByName(new.select("id", "at", "letters"))
         near = earlier_similar(texts, stored, probes, self.at_least, self.leaders, self.segments)

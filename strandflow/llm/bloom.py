@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from . import letters as L
 
 HASHES = 4
+MOST_BITS = 1 << 29  # 64 MB: what is sent to each executor never exceeds this
 SLICE = 1 << 13  # bytes of a filter that travel and are merged together
 SPARSE = SLICE // 2  # set bits up to which a slice travels as places of two bytes each
 _PARTS = pa.schema([("at", pa.int64()), ("once", pa.binary()), ("again", pa.binary())])
@@ -108,3 +109,22 @@ def merged_filter(keyed: DataFrame, key, bits: int, twice: bool) -> bytearray:
     for r in parts.repartition("at").sortWithinPartitions("at").mapInArrow(merge, "at long, on binary").toLocalIterator():
         result[r["at"] : r["at"] + SLICE] = decoded(bytes(r["on"])).tobytes()
     return result
+
+
+def filter_of(keyed: DataFrame, rows: int, per_row: int = 8) -> bytearray:
+    """Filter of the values of a frame with one column of type long; beyond MOST_BITS it fills up and lets more through."""
+    return merged_filter(keyed, lambda b: b.column(0).to_numpy().view(np.uint64), size_for(rows, per_row, MOST_BITS), twice=False)
+
+
+def passing(df: DataFrame, column: str, mask: bytearray) -> DataFrame:
+    """The rows whose value of a column of type long (never null) the filter may hold, found where they are."""
+    at = df.columns.index(column)
+    shared = df.sparkSession.sparkContext.broadcast(bytes(mask))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(all_set(bits, places(batch.column(at).to_numpy().view(np.uint64), len(bits) * 8))))
+
+    return df.mapInArrow(run, df.schema)

@@ -15,7 +15,7 @@ from . import bloom
 from . import letters as L
 
 BITS_PER_ROW = 8  # a singleton then passes for a possible repeat with a probability of 0.003, and of 0.03 at most
-MAX_BITS = 1 << 29  # 64 MB of filter at once: more rows make more ranges of digests, each with a filter of its own
+MAX_BITS = bloom.MOST_BITS  # of a filter: more rows make more ranges of digests, each with a filter of its own
 PREFIX = 1 << 31  # ranges are cut from the first 31 bits of a digest
 
 

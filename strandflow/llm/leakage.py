@@ -26,7 +26,6 @@ LOWER = 0.1  # a word that is written small in less than this share of its texts
 AFTER_NUMBER = 0.5  # a word that follows a number in this share of its texts is a unit
 FILLERS = 3  # so many words in one place of otherwise equal item templates make the place a slot
 REWORKED = 0.5  # share of an item's windows that makes a consistent match a re-parameterised copy
-FILTER_BITS = 1 << 29
 BROADCAST_WINDOWS = 100_000  # item windows (some 250 bytes each) up to which they are sent to the executors
 CHUNK = 200_000  # words that are looked at together
 KINDS = ("number", "code", "unit", "name")
@@ -302,8 +301,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     typing = learn_typing(src.select("text"), it.select("text"), rare)
     there = staged(_windows(it, typing, span, min_literal, None, ("item_row", "item_at")), "items").withColumnsRenamed({"id": "item", "w": "item_w", "slots": "item_slots", "n": "item_n"})
     n = there.count()
-    bits = bloom.size_for(n, 16, FILTER_BITS)
-    mask = bloom.merged_filter(there.select("key"), lambda b: b.column(0).to_numpy().view(np.uint64), bits, twice=False)
+    mask = bloom.filter_of(there.select("key"), n, 16)
     here = staged(_windows(src, typing, span, min_literal, mask, ("row", "at")).drop("n"), "hits")
     same = F.col("w") == F.col("item_w")
     cols = ["row", "id", "item_row", "item", "item_n", "at", "item_at", same.alias("same"), "slots", "item_slots"]

@@ -147,8 +147,8 @@ def test_repeats_are_those_of_brute_force(spark, rows, leaders, rare, monkeypatc
 
 @pytest.mark.parametrize("batch", [10000, 7])
 def test_long_keys_leave_no_stored_text_out(spark, batch):
-    stored = spark.createDataFrame([(1, i) for i in range(60)] + [(2, i) for i in range(16)], "key long, id long").selectExpr("key", "id", "50L n", "0L place")
-    probes = spark.createDataFrame([(k, i) for k in (1, 2) for i in (100, 101)], "key long, id long").selectExpr("key", "id", "50L n", "0L place")
+    stored = spark.createDataFrame([(1, i) for i in range(60)] + [(2, i) for i in range(16)], "key long, id long").selectExpr("key", "id", f"{50 << 42}L place")
+    probes = spark.createDataFrame([(k, i) for k in (1, 2) for i in (100, 101)], "key long, id long").selectExpr("key", "id", f"{50 << 42}L place")
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)  # 7: the key becomes long in its third batch
     try:
