@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,6 +75,18 @@ def staged(df: DataFrame, what: str = "t") -> DataFrame:
     return out
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes at its end the tables that were staged within, but for those put in the list; nothing may read them later."""
+    before, keep = set(_STAGED.get(spark.sparkContext.applicationId, [])), []
+    yield keep
+    kept = {getattr(df, "_staged_path", None) for df in keep}
+    paths = _STAGED.get(spark.sparkContext.applicationId, [])
+    for p in [p for p in paths if p not in before and p not in kept]:
+        _delete(spark, p)
+        paths.remove(p)
+
+
 def unstaged(df: DataFrame) -> None:
     """Deletes the table behind a frame that ``staged`` gave, once nothing that is still to run reads it."""
     if path := getattr(df, "_staged_path", None):
