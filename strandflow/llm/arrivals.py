@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path, staged
+from ..session import scratch, scratch_path, staged
 from . import bloom
 from . import letters as L
 from .pairs import FEW, LEADERS, few_pairs, prefix_pairs, verified
@@ -314,24 +314,28 @@ class SegmentIndex:
         Rows with null id, time or text, or fewer than 8 letters, are no case and no partner; equal times are
         ordered by id; repeated rows count once; an empty batch gives no rows.
         """
-        rows, known, new = self._own(batch, id_col, text_col, time_col)
-        fresh = staged(_keys(new, stored_segments, self.segments), "segments")
-        probes = staged(_keys(new, probe_substrings, self.segments), "probes")
-        stored = bloom.passing(self.segment_rows(), "key", bloom.filter_of(probes.select("key"), probes.count())).unionByName(fresh)
-        first = F.lit(-(2**62)).cast("long")
-        texts = self.texts().select("id", first.alias("at"), "letters").unionByName(new.select("id", "at", "letters"))
-        near = earlier_similar(texts, stored, probes, self.at_least, self.leaders, self.segments)
-        again = rows.join(new.select("h", F.col("id").alias("f")), "h").where("id <> f").select("id")
-        seen = rows.join(known.select("h"), "h", "left_semi").select("id")
-        out = staged(near.unionByName(again).unionByName(seen).distinct(), "repeats")
-        if append:
-            self._grow(new, fresh)
+        with scratch(self.spark) as keep:
+            rows, known, new = self._own(batch, id_col, text_col, time_col)
+            fresh = staged(_keys(new, stored_segments, self.segments), "segments")
+            probes = staged(_keys(new, probe_substrings, self.segments), "probes")
+            stored = bloom.passing(self.segment_rows(), "key", bloom.filter_of(probes.select("key"), probes.count())).unionByName(fresh)
+            first = F.lit(-(2**62)).cast("long")
+            texts = self.texts().select("id", first.alias("at"), "letters").unionByName(new.select("id", "at", "letters"))
+            near = earlier_similar(texts, stored, probes, self.at_least, self.leaders, self.segments)
+            # A row repeats its text if the index had that, or if another row of the batch brought it first.
+            marks = new.select("h", F.col("id").alias("f")).unionByName(known.select("h", F.lit(None).cast("long").alias("f")))
+            again = rows.join(marks, "h").where("f is null or id <> f").select("id")
+            out = staged(near.unionByName(again).distinct(), "repeats")
+            keep.append(out)
+            if append:
+                self._grow(new, fresh)
         return out
 
     def append(self, batch: DataFrame, id_col: str = "sequence_id", text_col: str = "sequence", time_col: str = "created_at") -> None:
         """Adds the batch's texts that the index lacks."""
-        _, _, new = self._own(batch, id_col, text_col, time_col)
-        self._grow(new, _keys(new, stored_segments, self.segments))
+        with scratch(self.spark):
+            _, _, new = self._own(batch, id_col, text_col, time_col)
+            self._grow(new, _keys(new, stored_segments, self.segments))
 
     def _grow(self, new: DataFrame, segments: DataFrame) -> None:
         # Texts last: an append that broke off and is done again then finds them missing, and segments may repeat.

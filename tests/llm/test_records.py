@@ -222,18 +222,22 @@ def test_lots_of_any_size_give_the_same(spark, rows, lot):
     assert got == brute_repeats(rows, datetime(2025, 10, 1))
 
 
-def test_a_batch_shuffles_no_history(spark, tmp_path):
-    """What a small batch writes (staged tables) does not follow the size of the history."""
+def test_a_batch_moves_no_history(spark, tmp_path, monkeypatch):
+    """What a small batch stages, and what it shuffles for its candidates, does not follow the size of the history."""
     rng = random.Random(23)
     at = datetime(2025, 9, 1)
-    size = {}
+    size, seen, moved, cols = {}, [], [], "sequence_id long, sequence string, created_at timestamp_ntz"
     batch = [(10**6 + i, text(rng, 80), at + timedelta(days=40)) for i in range(20)]
+    monkeypatch.setattr(arrivals, "staged", lambda df, what: seen.append(out := session.staged(df, what)) or out)
+    scan = arrivals.candidates
+    monkeypatch.setattr(arrivals, "candidates", lambda stored, *rest: moved.append(stored.count()) or scan(stored, *rest))
+    monkeypatch.setattr(session, "_delete", lambda *_: None)
     for n in (300, 3000):
         index = SegmentIndex(spark, str(tmp_path / f"index{n}"))
-        index.append(spark.createDataFrame([(i, text(rng, 80), at) for i in range(n)] + [(9999, batch[0][1][:-1] + "A", at)], "sequence_id long, sequence string, created_at timestamp_ntz"))
-        before = set(session._STAGED[spark.sparkContext.applicationId])
-        assert {r[0] for r in index.check(spark.createDataFrame(batch, "sequence_id long, sequence string, created_at timestamp_ntz")).collect()} == {10**6}
-        size[n] = sum(spark.read.parquet(p).count() for p in set(session._STAGED[spark.sparkContext.applicationId]) - before)
+        index.append(spark.createDataFrame([(i, text(rng, 80), at) for i in range(n)] + [(9999, batch[0][1][:-1] + "A", at)], cols))
+        seen, moved = [], []
+        assert {r[0] for r in index.check(spark.createDataFrame(batch, cols)).collect()} == {10**6}
+        size[n] = (sum(t.count() for t in seen), moved)
     assert size[3000] == size[300]
 
 
