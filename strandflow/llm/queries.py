@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..session import read_table
+from ..session import read_table, staged
 from .arrivals import repeats_since
 from .cutoff import keep_fraction
 from .formatting import format_copies, records
 from .leakage import leaks
 from .near import near_groups
-from .packing import pack_texts
+from .packing import CAPACITY, pack_texts
 from .splitting import split_texts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,7 +75,38 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_texts(read_table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_records, p4_found, p4_cutoffs, p5_found, p5_groups, p7_containers, p8_found, p8_templates, p8_items, p9_found, p9_pieces)}
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """One row: what must hold of the containers."""
+    c = read_table(spark, d, "documents")
+    box = staged(pack_texts(c), "boxes")
+    fill = box.where("container is not null").groupBy("container").agg(F.sum("tokens").alias("fill"), F.count("*").alias("items"))
+    boxes = fill.agg(F.max("fill").alias("most"), F.count("*").alias("n"), F.sum("fill").alias("all"))
+    # A text in several parts is above the capacity, and all its parts but the last fill a container alone.
+    parts = box.groupBy("id", "copy").agg(F.count("*").alias("parts"), F.sum("tokens").alias("n"))
+    whole = parts.agg(F.bool_and(F.col("parts") == F.greatest(F.lit(1), F.ceil(F.col("n") / CAPACITY))).alias("undivided"), F.count("*").alias("n_texts"), F.sum("n").alias("n_tokens"))
+    bound = F.ceil(F.col("all") / CAPACITY)
+    return whole.crossJoin(boxes).select("n_texts", "n_tokens", "undivided", (F.col("most") <= CAPACITY).alias("within"), (F.col("n") <= bound * 1.02 + 2).alias("tight"))  # one row each
+
+
+def p8_windows(spark: SparkSession, d: str) -> DataFrame:
+    found = leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items")).where("kind = 'exact'")
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "exact_windows")
+
+
+def p9_checks(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, n_tokens, within, overlapping, restored): what must hold of the pieces of each text."""
+    docs = read_table(spark, d, "documents")
+    p = split_texts(docs)
+    w = Window.partitionBy("id").orderBy("piece")
+    before = F.lag(F.col("first_token") + F.col("n_tokens")).over(w)
+    p = p.withColumn("shared", before - F.col("first_token")).withColumn("done", F.coalesce(F.lag("end").over(w), F.lit(0)))
+    p = p.withColumn("own", F.substring("text", (F.col("done") - F.col("start") + 1).cast("int"), F.length("text")))
+    per = p.groupBy("id").agg(F.max(F.col("first_token") + F.col("n_tokens")).alias("n_tokens"), (F.max("n_tokens") <= 1024).alias("within"), (F.coalesce(F.min("shared"), F.lit(64)) == 64).alias("a"), (F.coalesce(F.max("shared"), F.lit(64)) == 64).alias("b"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "own"))), lambda x: x["own"]), "").alias("back"))
+    per = per.join(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("source_text")), "id")
+    return per.select(F.col("id").alias("doc_id"), "n_tokens", "within", (F.col("a") & F.col("b")).alias("overlapping"), (F.col("back") == F.col("source_text")).alias("restored"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_records, p4_found, p4_cutoffs, p5_found, p5_groups, p7_containers, p8_found, p8_templates, p8_items, p9_found, p9_pieces, p7_checks, p8_windows, p9_checks)}
 
 _WINDOWS = """
 letters as (select sequence_id, created_at, regexp_replace(upper(sequence), '[^A-Z]', '', 'g') s from sequences),
@@ -125,3 +157,8 @@ ORACLE["p8_items"] = f"with {_SPANS} select item_id, count(*) n_docs from hit gr
 # Word characters and blanks in the sense of the tokenizer, which RE2 knows for ASCII only.
 _TOKEN = "[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s\\v\\x{1c}-\\x{1f}\\x{85}\\p{Z}]+"
 ORACLE["p9_found"] = f"select distinct doc_id from documents where length(regexp_extract_all(text, '{_TOKEN}')) > 1024"
+_N = f"length(regexp_extract_all(text, '{_TOKEN}'))"
+ORACLE["p7_checks"] = f"select count(*) as n_texts, cast(sum(coalesce({_N}, 0)) as bigint) as n_tokens, true as undivided, true as within, true as tight from documents"
+ORACLE["p9_checks"] = f"select doc_id, {_N} as n_tokens, true as within, true as overlapping, true as restored from documents where {_N} > 1024"
+_AT = _SPANS.replace("select distinct doc_id, lower", "select doc_id, i, lower")
+ORACLE["p8_windows"] = f"with {_AT} select doc_id, item_id, count(distinct i) as exact_windows from ds join js using (s) group by all"
