@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field, replace
 from functools import cached_property
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import bio
+from .functions import bio, extract
 from .operators import relational as R
 from .operators.checks import check_expression, check_name
+from .scoring import BATCH_SIZE, Scorer, score
+from .session import staged
 from .sources import readers, writers
 
 META_KEY = "strandflow"
@@ -174,6 +177,18 @@ class SequenceFrame:
     def io(self) -> Io:
         return Io(self)
 
+    @cached_property
+    def models(self) -> Models:
+        return Models(self)
+
+    @cached_property
+    def protocols(self) -> Protocols:
+        return Protocols(self)
+
+    @cached_property
+    def lab(self) -> Lab:
+        return Lab(self)
+
 
 class _Namespace:
     def __init__(self, frame: SequenceFrame):
@@ -237,6 +252,43 @@ class Bio(_Namespace):
         return self.frame.then(self.df.withColumn(name, bio.translate_codons(self._c())))
 
 
+class Models(_Namespace):
+    """Columns from a scorer, by the frame's id."""
+
+    def _scored(self, scorer: Scorer, action: str, params: dict[str, Any] | None, batch_size: int, value: Column, column: str) -> SequenceFrame:
+        m = self.frame.meta
+        got = staged(score(self.df, scorer, action, [m.sequence_column], m.id_column, params, batch_size), "responses")
+        return self.frame.merge_columns(got.select(F.col(m.id_column), value.alias(check_name(column))), m.id_column)
+
+    def predict(self, scorer: Scorer, column: str | None = None, action: str = "predict", params: dict[str, Any] | None = None, batch_size: int = BATCH_SIZE) -> SequenceFrame:
+        """Adds the response's one value as text (``extract.first_scalar``), under ``<model>_<action>`` unless named."""
+        return self._scored(scorer, action, params, batch_size, extract.first_scalar("response", action == "encode"), column or re.sub(r"\W", "_", f"{scorer.name}_{action}"))
+
+    def embed(self, scorer: Scorer, column: str | None = None, layer: int | None = None, params: dict[str, Any] | None = None, batch_size: int = BATCH_SIZE) -> SequenceFrame:
+        """Adds the response's vector, of the asked layer if it has several, under ``<model>_embedding`` unless named."""
+        value = F.coalesce(extract.embedding("response", "embedding", layer), extract.embedding("response", "embeddings", layer))
+        given = {**(params or {}), **({} if layer is None else {"layer": layer})}
+        return self._scored(scorer, "encode", given, batch_size, value, column or re.sub(r"\W", "_", f"{scorer.name}_embedding"))
+
+
+class Protocols(_Namespace):
+    """Protocol runs joined back."""
+
+    def run(self, protocol: Any, inputs: Mapping[str, Any], scorers: Mapping[str, Scorer], path: str, join_on: str = "id", **options: Any) -> SequenceFrame:
+        """Runs a protocol over a store at ``path`` and joins the rows it selects to this frame (left)."""
+        from .plans.protocols import run_protocol
+
+        run = run_protocol(self.df.sparkSession, protocol, inputs, scorers, path, **options)
+        return self.frame.query.join(SequenceFrame(run.selected, self.frame.meta), join_on, "left")
+
+
+class Lab(_Namespace):
+    """Lab results joined back."""
+
+    def merge(self, other: SequenceFrame, on: str = "id", how: str = "left") -> SequenceFrame:
+        return self.frame.query.join(other, on, how)
+
+
 class Io(_Namespace):
     """Sinks."""
 

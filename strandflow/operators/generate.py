@@ -25,9 +25,9 @@ def saturation_mutants(df: DataFrame, id_column: str = "sequence_id", column: st
 
 
 def saturation(df: DataFrame, scored: Callable[[DataFrame], DataFrame], top: int | None = 50, **options) -> DataFrame:
-    """``saturation_mutants`` with ``score`` from ``scored``; null scores go, the best ``top`` (or all) stay, ties by position and residue."""
+    """``saturation_mutants`` with ``score`` from ``scored``; null scores go, the best ``top`` (or all) stay, ties by position, residue and id."""
     s = scored(saturation_mutants(df, **options)).where("score is not null and not isnan(score)")
-    order = [F.col("score").desc(), F.col("sat_position"), F.col("sat_mut_aa")]
+    order = [F.col("score").desc(), F.col("sat_position"), F.col("sat_mut_aa"), F.col(options.get("id_column", "sequence_id"))]
     return s.orderBy(*order).limit(top) if top is not None else s
 
 

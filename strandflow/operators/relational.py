@@ -62,6 +62,22 @@ def embeddings_concat(embeddings: DataFrame, models: Sequence[str], id_column: s
 # --- Id sets ------------------------------------------------------------------------------------
 
 
+def status_roll_up(df: DataFrame, keys: Sequence[str], status: str, any_of: Sequence[tuple[str, Sequence[str]]], all_of: Sequence[tuple[str, Sequence[str]]], default: str) -> DataFrame:
+    """(keys, status): one status for the statuses of a key's rows, compared without regard to case.
+
+    The first of ``any_of`` (name, statuses) of which some row has a status, else the first of ``all_of``
+    whose statuses all rows have, else ``default``; null statuses match nothing.
+    """
+    s = F.lower(F.trim(F.col(status)))
+    out = F.lit(default)
+    low = lambda xs: [x.lower() for x in xs]
+    for name, some in reversed(all_of):
+        out = F.when(F.bool_and(F.coalesce(s.isin(low(some)), F.lit(False))), name).otherwise(out)
+    for name, some in reversed(any_of):
+        out = F.when(F.bool_or(F.coalesce(s.isin(low(some)), F.lit(False))), name).otherwise(out)
+    return df.groupBy(*keys).agg(out.alias("status"))
+
+
 def id_set(df: DataFrame, id_column: str = "sequence_id") -> DataFrame:
     """Distinct non-null ids."""
     return df.select(F.col(id_column).cast("long").alias("sequence_id")).where("sequence_id is not null").distinct()
@@ -103,13 +119,23 @@ def attach_latest(base: DataFrame, predictions: DataFrame, kinds: Sequence[str],
     return join_using(base, pivot_latest(predictions, want, model), "sequence_id", "left")
 
 
+def column_names(kinds: Sequence[str]) -> list[str]:
+    """A column name for each type; types that differ in case only, which Spark's columns can't, get a number from the second on."""
+    seen: dict[str, int] = {}
+    out = []
+    for k in kinds:
+        n = seen[k.lower()] = seen.get(k.lower(), 0) + 1
+        out.append(k if n == 1 else f"{k}_{n}")
+    return out
+
+
 def pivot_latest(predictions: DataFrame, kinds: Sequence[str], model: str | None = None) -> DataFrame:
-    """One row per sequence_id with the latest value of each type, by conditional max_by in one aggregate."""
+    """One row per sequence_id with the latest value of each type, by conditional max_by in one aggregate. Names as in ``column_names``."""
     p = predictions.where(F.col("prediction_type").isin(*kinds) & F.col("sequence_id").isNotNull())
     if model is not None:
         p = p.where(F.col("model_name") == model)
     kind = F.col("prediction_type")
-    aggs = [F.max_by(F.when(kind == k, F.col("value")), F.when(kind == k, F.col("prediction_id"))).alias(k) for k in kinds]
+    aggs = [F.max_by(F.when(kind == k, F.col("value")), F.when(kind == k, F.col("prediction_id"))).alias(c) for k, c in zip(kinds, column_names(kinds))]
     return p.groupBy("sequence_id").agg(*aggs)
 
 

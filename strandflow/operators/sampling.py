@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .checks import check_name
+from .quantiles import exact_quantile
 
 
 def _tie(df: DataFrame, id_column: str) -> list[Column]:
@@ -33,22 +34,22 @@ def bottom_n(df: DataFrame, column: str, n: int, id_column: str = "sequence_id")
 def percentile_keep(df: DataFrame, column: str, percentile: float, ascending: bool = False) -> DataFrame:
     """Rows at or above the (1 - percentile/100) quantile, or at or below the percentile/100 one; ties stay.
 
-    The quantile is exact with linear interpolation. It is one number, joined as a scalar subquery.
+    The quantile is exact with linear interpolation (``exact_quantile``), and is found when this is called.
     """
     if not 0 <= percentile <= 100:
         raise ValueError("percentile must be within 0 and 100")
     c = F.col(check_name(column)).cast("double")
     rows = df.where(c.isNotNull() & ~F.isnan(c))
     p = percentile / 100 if ascending else 1 - percentile / 100
-    cut = rows.agg(F.percentile(c, F.lit(p)).alias("q")).first()["q"]
+    cut = exact_quantile(rows, c, p)
     if cut is None:
         return rows
     return rows.where(c <= cut) if ascending else rows.where(c >= cut)
 
 
 def sample_random(df: DataFrame, n: int, id_column: str = "sequence_id", seed: int = 42) -> DataFrame:
-    """n rows without replacement, chosen by a seeded hash of the id: the same rows on every run and cluster."""
-    key = F.xxhash64(F.col(id_column), F.lit(seed)) if id_column in df.columns else F.xxhash64(*df.columns, F.lit(seed))
+    """n rows without replacement, chosen by a seeded digest of the id: the same rows on every run, cluster and engine."""
+    key = F.md5(F.concat(F.col(id_column).cast("string"), F.lit(f":{seed}"))) if id_column in df.columns else F.xxhash64(*df.columns, F.lit(seed))
     return df.orderBy(key, *_tie(df, id_column)).limit(max(0, n))
 
 

@@ -10,8 +10,10 @@ from ..functions import bio, extract, vectors
 from ..operators import filters as flt
 from ..operators import relational as R
 from ..operators import sampling
-from ..session import read_table
+from ..session import read_table, scratch_path
+from ..store import Store
 from .outputs import combine_rules, rule_aggregates, select_rows, union_rules
+from .pipeline import Pipeline, Stage
 from .queries import query
 
 REFERENCE = "MKTAYIAKQRQISFVKSHFSRQLEERLGLIEVQAPILSRVGDGTQDNLSGAEKAVQVKVKALPDAQFEVV"
@@ -42,9 +44,10 @@ def frame_add_column(spark, d):
     return SequenceFrame(read_table(spark, d, "orders")).add_column("tax", "round(o_totalprice * 0.1, 4)").query.select("o_orderkey", "tax").df
 
 
-@query("select count(*) as n_rows from sequences")
+@query("select count(*) as n_rows, 7 as n_columns from sequences")
 def frame_count(spark, d):
-    return SequenceFrame(read_table(spark, d, "sequences")).query.group_by(agg={"n_rows": "count(*)"}).df
+    rows, columns = SequenceFrame(read_table(spark, d, "sequences")).shape()
+    return spark.createDataFrame([(rows, columns)], "n_rows long, n_columns int")
 
 
 def _run_sides(spark, d):
@@ -190,12 +193,12 @@ def sample_spread(spark, d):
     return flt.Sample(20, "spread", "value", id_column="prediction_id").apply(_tm(spark, d)).select("prediction_id")
 
 
-@query()
+@query(f"{_TM} select prediction_id from t order by md5(prediction_id::varchar || ':42'), prediction_id limit 50")
 def sample_random(spark, d):
     return flt.Sample(50, "random", id_column="prediction_id").apply(_tm(spark, d)).select("prediction_id")
 
 
-@query()
+@query(f"{_TM}, e as (select prediction_id from t order by value desc, prediction_id limit 20) select prediction_id from e union all (select prediction_id from t where prediction_id not in (select prediction_id from e) order by md5(prediction_id::varchar || ':42'), prediction_id limit 30)")
 def sample_top_up(spark, d):
     t = _tm(spark, d)
     return flt.Sample(50, "random", id_column="prediction_id").keep_earlier(t, sampling.top_n(t, "value", 20, "prediction_id")).select("prediction_id")
@@ -241,11 +244,13 @@ def semi_lookup(spark, d):
     return R.semi_lookup(read_table(spark, d, "filter_results").select("filter_id", "sequence_id").distinct(), rna, "sequence_id")
 
 
-@query("select sequence_id from sequences where hash = (select hash from sequences where sequence_id = (select min(sequence_id) from sequences where hash is not null))")
+@query("select sequence_id from sequences where sequence = (select sequence from sequences where sequence_id = (select min(sequence_id) from sequences where sequence is not null))")
 def lookup_by_hash(spark, d):
-    s = read_table(spark, d, "sequences")
-    one = s.where("hash is not null").agg(F.min_by("hash", "sequence_id")).first()[0]
-    return s.where(F.col("hash") == F.lit(one)).select("sequence_id")
+    s = read_table(spark, d, "sequences").where("sequence is not null")
+    one = s.agg(F.min_by("sequence", "sequence_id")).first()[0]  # the text to look for
+    store = Store(spark, scratch_path(spark, "store"))
+    store.append("sequences", s.select("sequence_id", "sequence", "length", bio.store_hash("sequence").alias("hash")))
+    return store.find(one).select("sequence_id")
 
 
 @query("select sequence_id, sequence from (select *, row_number() over (partition by sequence order by sequence_id) rn from sequences where sequence is not null) where rn = 1")
@@ -282,11 +287,13 @@ def prediction_pivot(spark, d):
 
 
 @query(f"""with {_LATEST}, ids as (select distinct sequence_id from filter_results where passed and stage_name = 'filter_tm'),
-w as (select sequence_id, {_CASES} from ranked where rn = 1 group by 1)
-select s.sequence_id, s.length, s.hash, {', '.join(_KINDS)}, cast(null as varchar) as source_label from sequences s semi join ids using (sequence_id) left join w using (sequence_id)""")
+w as (select sequence_id, {_CASES} from ranked where rn = 1 group by 1), g as (select sequence_id, max_by(stage_name, filter_id) source_label from filter_results where sequence_id is not null group by 1)
+select s.sequence_id, s.length, s.hash, {', '.join(_KINDS)}, source_label from sequences s semi join ids using (sequence_id) left join w using (sequence_id) left join g using (sequence_id)""")
 def working_set_materialize(spark, d):
-    ids = R.id_set(read_table(spark, d, "filter_results").where("passed and stage_name = 'filter_tm'"))
-    return R.working_frame(ids, read_table(spark, d, "sequences").select("sequence_id", "length", "hash"), _pred(spark, d), _KINDS)
+    f = read_table(spark, d, "filter_results")
+    made = f.where("sequence_id is not null").select("sequence_id", F.col("filter_id").alias("metadata_id"), F.col("stage_name").alias("label"))
+    ids = R.id_set(f.where("passed and stage_name = 'filter_tm'"))
+    return R.working_frame(ids, read_table(spark, d, "sequences").select("sequence_id", "length", "hash"), _pred(spark, d), _KINDS, made)
 
 
 @query(f"with {_LATEST}, w as (select sequence_id, {_CASES} from ranked where rn = 1 group by 1) select sequence_id, tm, plddt from w where tm >= 50 order by tm desc, sequence_id limit 100")
@@ -332,7 +339,11 @@ def ws_difference(spark, d):
 
 @query(f"with {_IDS}, c as (select distinct sequence_id from predictions where prediction_type = 'ptm' and sequence_id is not null) (select * from a union select * from b) intersect select * from c")
 def parallel_merge(spark, d):
-    return R.ids_intersect(R.ids_union(_ids(spark, d, "tm"), _ids(spark, d, "plddt")), _ids(spark, d, "ptm"))
+    tm, plddt, ptm, either = (Stage(n) for n in ("tm", "plddt", "ptm", "either"))
+    tm.mode = plddt.mode = "union"
+    out = {n: _ids(spark, d, n) for n in ("tm", "plddt", "ptm")}
+    out["either"] = Pipeline._merge([tm, plddt], out)
+    return Pipeline._merge([either, ptm], out)
 
 
 @query(f"with {P} select sequence_id, model_name, prediction_type, min(prediction_id) prediction_id, max_by(value, prediction_id) filter (value is not null) as value from p group by 1, 2, 3")

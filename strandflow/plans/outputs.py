@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.bio import annotation_json
+from ..operators import sampling
 from ..operators.diversity import aggregates
 from .expressions import evaluate, template, where
 
@@ -51,8 +52,8 @@ def select_rows(df: DataFrame, rule: Mapping[str, Any]) -> DataFrame:
 def union_rules(df: DataFrame, rules: Sequence[Mapping[str, Any]]) -> DataFrame:
     """The rows of all rules, equal rows once, in the order in which rules first selected them.
 
-    Without rules there are no rows. Each rule's result is bounded by its limit; rows without a limit are
-    ranked by their order within the rule.
+    Without rules there are no rows. A rule's rows are ranked within its limit, or, without one, over range
+    partitions, so that they never meet in one task.
     """
     df = with_position(df)
     cols = [c for c in df.columns if c != POSITION]
@@ -64,8 +65,12 @@ def union_rules(df: DataFrame, rules: Sequence[Mapping[str, Any]]) -> DataFrame:
             if o.get("field") in df.columns:
                 c = F.col(f"`{o['field']}`")
                 keys.append(c.desc_nulls_last() if o.get("order", "asc") == "desc" else c.asc_nulls_last())
-        w = Window.partitionBy(F.lit(i)).orderBy(*keys, F.col(POSITION))
-        ranked = sel.withColumn("_rank", F.row_number().over(w)).withColumn("_rule", F.lit(i))
+        keys.append(F.col(POSITION).asc())
+        if rule.get("limit", DEFAULT_LIMIT) is None:
+            ranked = sampling.ranked(sel, keys, "_rank")
+        else:
+            ranked = sel.withColumn("_rank", F.row_number().over(Window.partitionBy(F.lit(i)).orderBy(*keys)).cast("long"))
+        ranked = ranked.withColumn("_rule", F.lit(i))
         out = ranked if out is None else out.unionByName(ranked)
     if out is None:
         return df.limit(0).drop(POSITION)

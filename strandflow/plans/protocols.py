@@ -20,7 +20,7 @@ from .pipeline import Pipeline, Predict
 
 ACTIONS = ("predict", "encode", "generate", "score", "search", "lookup")
 # What a locally run task may not use.
-UNSUPPORTED = ("class", "app", "method", "gather", "foreach", "subtasks", "skip_if")
+UNSUPPORTED = ("class", "app", "method", "gather", "foreach", "subtasks", "skip_if", "skip_if_empty")
 
 
 @dataclass

@@ -72,6 +72,20 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return wide.unpivot_ids(table, attributes)
 
 
-@query()
+_CELLS = """
+rows as (select sequence_id, lower(trim(model_name)) m, lower(trim(prediction_type)) t, prediction_id, value from predictions
+ where value is not null and not isnan(value) and model_name is not null and prediction_type is not null and sequence_id is not null and prediction_id is not null),
+cell as (select sequence_id, m, t, max((prediction_id, value))[2] as value from rows group by all),
+kinds as (select m, t, case when bool_and(value in (0, 1)) then 'boolean' when bool_and(value = floor(value) and abs(value) < 9007199254740992) then 'bigint' else 'double' end as column_type from cell group by all)"""
+
+
+@query(f"""with {_CELLS} select sequence_id, trim(regexp_replace(m, '[^A-Za-z0-9_]+', '_', 'g'), '_') || '__' || trim(regexp_replace(t, '[^A-Za-z0-9_]+', '_', 'g'), '_') as column_name, column_type, round(value, 9) as value from cell join kinds using (m, t)""")
 def p6_wide(spark: SparkSession, d: str) -> DataFrame:
-    return wide.wide_table(read_table(spark, d, "predictions"))[0]
+    """The wide table read back: one row per filled cell, with the name and type of its column."""
+    table, attributes = wide.wide_table(read_table(spark, d, "predictions"))
+    if not attributes:
+        return table.select("sequence_id", F.lit(None).cast("string").alias("column_name"), F.lit(None).cast("string").alias("column_type"), F.lit(None).cast("double").alias("value"))
+    kinds = dict(table.dtypes)
+    number = lambda a: F.col(a.name).cast("int").cast("double") if a.kind == "boolean" else F.col(a.name).cast("double")
+    cells = F.array(*[F.struct(F.lit(a.name).alias("column_name"), F.lit(kinds[a.name]).alias("column_type"), F.round(number(a), 9).alias("value")) for a in attributes])
+    return table.select("sequence_id", F.inline(F.filter(cells, lambda c: c["value"].isNotNull())))

@@ -9,11 +9,9 @@ from __future__ import annotations
 
 import hashlib
 import json
-import shutil
 import time
 from collections.abc import Sequence
 from datetime import datetime
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -108,15 +106,16 @@ class Store:
         return log.drop(BATCH)
 
     def compact(self, name: str) -> None:
-        """Rewrites a table's log to its view: written beside it first, then swapped in (local folders)."""
+        """Rewrites a table's log to its view: written beside it first, then swapped in, on any filesystem that Spark reads."""
         rows = self.table(name).withColumn(BATCH, F.lit(0).cast("long"))
-        new = f"{self.path}/_{name}.new"
-        rows.write.mode("overwrite").parquet(new)
-        old = Path(self.path, name)
-        if old.exists():
-            old.rename(Path(self.path, f"_{name}.old"))
-        Path(new).rename(old)
-        shutil.rmtree(Path(self.path, f"_{name}.old"), ignore_errors=True)
+        new, now, old = (self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{x}") for x in (f"_{name}.new", name, f"_{name}.old"))
+        fs = now.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        rows.write.mode("overwrite").parquet(new.toString())
+        fs.delete(old, True)
+        if fs.exists(now):
+            fs.rename(now, old)
+        fs.rename(new, now)
+        fs.delete(old, True)
 
     def next_id(self, table: str) -> int:
         """The largest id given plus one; 1 in an empty table."""
@@ -151,7 +150,8 @@ class Store:
         out = numbered.select("sequence_id", F.col(text).alias("sequence"), F.length(text).cast("long").alias("length"), "hash", *extra)
         if not new.isEmpty():
             self.append("sequences", out)
-        ids = self.log("sequences").groupBy("hash").agg(F.min("sequence_id").alias("sequence_id"))
+        # Only the batch's hashes are looked up, so the log is scanned but not moved.
+        ids = R.semi_lookup(self.log("sequences").select("hash", "sequence_id"), src.select("hash").distinct(), "hash").groupBy("hash").agg(F.min("sequence_id").alias("sequence_id"))
         return src.drop("sequence_id").join(ids, "hash").drop("hash", *([] if position else ["_pos"]))
 
     def find(self, sequence: str) -> DataFrame:
