@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..session import staged
 from . import letters as L
-from .pairs import LEADERS, few_pairs, pair_runs, prefix_pairs, verified
+from .pairs import LEADERS, few_pairs, pair_runs, prefix_windows, verified
 
 SLOTS, CHUNK, ERRORS, BITS = 24, 3, 1, 32
 
@@ -67,6 +67,26 @@ def signature_keys(texts: DataFrame, slots: int = SLOTS, chunk: int = CHUNK, err
     return texts.select("id", "letters").mapInArrow(run, "key long, id long")
 
 
+def _open_members(long_runs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, strays) of the long keys (key, id) whose members are in several components.
+
+    Of each key the largest component is the main one; strays are the members outside of it, with the
+    key's size. Both are (key, id, component, main, size).
+    """
+    found = staged(found, "found")
+    member = long_runs.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    parts = staged(member.groupBy("key", "component").agg(F.count("*").alias("n")), "parts")
+    main = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("k")).where("k > 1")
+    m = staged(member.join(main.drop("k"), "key"), "split")
+    return m, m.where("component <> main")
+
+
+def _between(members: DataFrame, strays: DataFrame) -> DataFrame:
+    """(a, b), a < b: strays with all members of their keys that are in other components."""
+    a, b = members.select("key", F.col("id").alias("a"), F.col("component").alias("ca")), strays.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
+    return a.join(b, "key").where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_groups(df: DataFrame, id_col: str = "sequence_id", text_col: str = "sequence", at_least: float = 0.5, leaders: int = LEADERS, **sign: int) -> DataFrame:
     """(group_id, member_id): every record of a group of two or more, group_id being its smallest id.
 
@@ -79,8 +99,9 @@ def near_groups(df: DataFrame, id_col: str = "sequence_id", text_col: str = "seq
     3. Candidates are checked exactly, and components of the links found.
     4. A key shared by more than ``leaders`` texts gives only pairs with its leaders. Its members that then
        are in different components are compared with each other, or, where those are many pairs, through
-       their rare windows (``prefix_pairs``): no link is lost, and none is made between records that are
-       already together.
+       their rare windows (``prefix_windows``), of which a frequent one is split in the same way: pairs with
+       leaders first, then only members that are still apart. No link is lost, and none is made between
+       records that are already together.
 
     Null texts, and texts with fewer than 8 letters, are in no group; rows with a null id are left out;
     a repeated id counts once; an empty table gives no rows. Other columns are not looked at.
@@ -93,22 +114,18 @@ def near_groups(df: DataFrame, id_col: str = "sequence_id", text_col: str = "seq
     found = connected_components(links, "a", "b")
     long_runs = runs.where("kind = 1").select("key", F.col("a").alias("id"))
     if not long_runs.isEmpty():
-        found = staged(found, "found")
-        member = long_runs.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        # Of each key the largest component is the main one; its other members are what is left to compare.
-        parts = staged(member.groupBy("key", "component").agg(F.count("*").alias("n")), "parts")
-        main = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("k")).where("k > 1")
-        m = staged(member.join(main, "key"), "split")
-        strays = m.where("component <> main")
-        a, b = m.select("key", F.col("id").alias("a"), F.col("component").alias("ca")), strays.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
+        m, strays = _open_members(long_runs, found)
         if few_pairs(strays.agg(F.sum("size")), m):
-            rest = a.join(b, "key").where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            rest = _between(m, strays)
         else:
-            some = texts.join(m.select("id"), "id", "left_semi").select("id", "letters")
-            ids = m.select("id", "component").distinct()
-            rest = prefix_pairs(some, some, at_least).where("a < b").join(ids.toDF("a", "ca"), "a").join(ids.toDF("b", "cb"), "b").where("ca <> cb").select("a", "b")
-        rest = rest.join(pairs, ["a", "b"], "left_anti")
-        links = links.unionByName(verified(rest, texts, at_least))
+            rare = prefix_windows(texts.join(m.select("id"), "id", "left_semi"), at_least).withColumnRenamed("w", "key")
+            again = staged(pair_runs(rare, leaders), "runs")
+            comp = m.select("id", "component").distinct()
+            met = again.where("kind = 0").select("a", "b").distinct().join(comp.toDF("a", "ca"), "a").join(comp.toDF("b", "cb"), "b").where("ca <> cb").select("a", "b")
+            links = staged(links.unionByName(verified(met.join(pairs, ["a", "b"], "left_anti"), texts, at_least)), "links")
+            found = connected_components(links, "a", "b")
+            rest = _between(*_open_members(again.where("kind = 1").select("key", F.col("a").alias("id")), found))
+        links = links.unionByName(verified(rest.join(pairs, ["a", "b"], "left_anti"), texts, at_least))
         found = connected_components(links, "a", "b")
     found = staged(found, "found")
     # Records to texts by a digest of the letters: the letters themselves need not move again.

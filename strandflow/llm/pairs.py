@@ -113,18 +113,22 @@ def window_rows(texts: DataFrame) -> DataFrame:
     return texts.select("id", "letters").mapInArrow(run, "id long, w long")
 
 
-def prefix_pairs(left: DataFrame, right: DataFrame, at_least: float) -> DataFrame:
-    """(a, b): all pairs of left and right texts (id, letters) that can have the similarity, found without their shared keys.
+def prefix_windows(texts: DataFrame, at_least: float) -> DataFrame:
+    """(id, w): the windows of texts (id, letters) of which two texts of that similarity share one.
 
-    Prefix filtering: with each text's windows ordered from rare to common, two texts of that similarity
-    share one among the first ``n - ceil(at_least * n) + 1`` of each. A stretch that stands in very many
-    texts comes last and joins nothing, so this settles exactly what long keys leave open.
+    Prefix filtering: with each text's windows ordered from rare to common, these are the first
+    ``n - ceil(at_least * n) + 1``. A stretch that stands in very many texts comes last and is mostly left out.
     """
-    w = staged(window_rows(left.select("id", "letters").unionByName(right.select("id", "letters")).dropDuplicates(["id"])), "windows")
+    w = staged(window_rows(texts.select("id", "letters").dropDuplicates(["id"])), "windows")
     freq = w.groupBy("w").agg(F.count("*").alias("f"))
     rare_first = Window.partitionBy("id").orderBy("f", "w")
     ranked = w.join(freq, "w").withColumn("r", F.row_number().over(rare_first)).withColumn("n", F.count("*").over(Window.partitionBy("id")))
-    prefix = staged(ranked.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * F.lit(at_least)) + 1) & (F.col("f") > 1)).select("id", "w"), "prefix")
+    return staged(ranked.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * F.lit(at_least)) + 1) & (F.col("f") > 1)).select("id", "w"), "prefix")
+
+
+def prefix_pairs(left: DataFrame, right: DataFrame, at_least: float) -> DataFrame:
+    """(a, b): all pairs of left and right texts (id, letters) that can have the similarity, found through their rare windows (``prefix_windows``)."""
+    prefix = prefix_windows(left.select("id", "letters").unionByName(right.select("id", "letters")), at_least)
     a = prefix.join(left.select("id").distinct(), "id", "left_semi").withColumnRenamed("id", "a")
     b = prefix.join(right.select("id").distinct(), "id", "left_semi").withColumnRenamed("id", "b")
     return a.join(b, "w").where("a <> b").select("a", "b").distinct()

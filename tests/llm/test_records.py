@@ -98,6 +98,21 @@ def test_near_groups_are_those_of_brute_force(spark, rows, leaders, rare, monkey
     assert got == groups_of(rows)
 
 
+def test_a_frequent_window_in_many_prefixes_makes_few_pairs(spark, monkeypatch):
+    """Short texts that are mostly one shared stretch: their rare windows are few, so the frequent ones decide."""
+    rng = random.Random(31)
+    stretch = text(rng, 30)
+    rows = [(i, text(rng, rng.randint(0, 4)) + stretch + text(rng, rng.randint(0, 60))) for i in range(400)]
+    rows = [(*r, datetime(2025, 1, 1), "", 1, "", "") for r in rows]
+    seen = []
+    monkeypatch.setattr(near, "few_pairs", lambda *_: False)
+    check = near.verified
+    monkeypatch.setattr(near, "verified", lambda pairs, *rest: seen.append(pairs.count()) or check(pairs, *rest))
+    got = {tuple(r) for r in near_groups(spark.createDataFrame(rows, SCHEMA), leaders=16).where("group_id <> member_id").collect()}
+    assert got == groups_of(rows)
+    assert sum(seen) < 400 * 399 / 4
+
+
 def test_near_groups_include_their_first_member_once(spark, rows):
     g = near_groups(spark.createDataFrame(rows, SCHEMA))
     assert g.count() == g.distinct().count()
