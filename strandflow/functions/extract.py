@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,6 +100,19 @@ def embedding(json_column: Column | str, key: str = "embedding", layer: int | No
     return F.when(raw.rlike(r"^\s*\[\s*\{"), F.when(F.size(chosen) > 0, F.element_at(chosen, -1)["embedding"])).when(raw.rlike(r"^\s*\[\s*\["), from_matrix).otherwise(flat)
 
 
+def embedding_by(function: Callable[[Any], Sequence[float] | None], json_column: Column | str) -> Column:
+    """A vector (array<double>) that a function takes out of the parsed response, in Arrow batches; None gives null."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> list[float] | None:
+            v = None if t is None else function(json.loads(t))
+            return None if v is None else [float(x) for x in v]
+
+        return pd.Series([one(t) for t in texts], dtype=object)
+
+    return F.pandas_udf(run, "array<double>")(json_column)
+
+
 def unpivot_matrix(df: DataFrame, ids: Sequence[str], values: str, rows: str, cols: str, prefix: str = "") -> DataFrame:
     """(ids, prediction_type, value): each cell of a matrix as ``<prefix><row><position><column>``; position is 1-based.
 
@@ -154,8 +169,6 @@ def flatten_generated(json_column: Column | str) -> Column:
 
 def payload(columns: Mapping[str, str], params: Mapping[str, Any] | None = None) -> Column:
     """A request {items: [{field: column...}], params} as JSON."""
-    import json
-
     item = F.struct(*[F.col(c).alias(f) for f, c in columns.items()])
     parts = [F.array(item).alias("items")]
     body = F.to_json(F.struct(*parts))

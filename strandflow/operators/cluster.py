@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -165,6 +166,46 @@ def neighbors_within(df: DataFrame, eps: float, id_column: str = "vec_id", value
     return hit.where(euclidean("va", "vb") <= eps).select("a", "b")
 
 
+SLOW, REFUSED = 10_000, 50_000  # sequences above which all Hamming distances are warned of, and refused
+
+
+def _rows_of(pairs: DataFrame) -> DataFrame:
+    """(id, v): the distances (a, b, distance) of each id to all ids, in their order."""
+    both = pairs.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("b", "distance"))).alias("r"))
+    return both.select(F.col("a").alias("id"), F.transform("r", lambda x: x["distance"].cast("double")).alias("v"))
+
+
+def distance_rows(df: DataFrame, id_column: str = "vec_id", values: str = "embedding", limit: int = PAIRWISE_LIMIT) -> DataFrame:
+    """(id, v): each point's distances to all points (itself 0), in order of id: what k-means over a distance matrix takes.
+
+    The rows are as long as the table, so more than ``limit`` points raise ValueError.
+    """
+    p = _points(df, id_column, values)
+    if (n := p.count()) > limit:
+        raise ValueError(f"{n} points; rows of all distances are for at most {limit}")
+    d = query_distances(p, p, "id", "v").toDF("a", "b", "distance")
+    return _rows_of(d.unionByName(p.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("distance"))))
+
+
+def hamming_rows(df: DataFrame, id_column: str = "sequence_id", column: str = "sequence", slow: int = SLOW, refused: int = REFUSED) -> DataFrame:
+    """(id, v): each text's normalized Hamming distances to all texts, in order of id. Warns above ``slow`` texts, raises ValueError above ``refused``."""
+    from ..functions import bio
+
+    p = df.select(F.col(id_column).cast("long").alias("id"), F.col(column).alias("t")).where("id is not null and t is not null")
+    n = p.count()
+    if n > refused:
+        raise ValueError(f"{n} texts need {n * n:,} comparisons; cluster their embeddings, or at most {refused} texts")
+    if n > slow:
+        warnings.warn(f"all Hamming distances of {n} texts are quadratic; consider embeddings", ResourceWarning, stacklevel=2)
+    b = staged(_blocks(p, [], BLOCK).select("blk", "rows"), "blocks")
+    names = [r[0] for r in b.select("blk").collect()]
+    if not names:
+        return p.select("id", F.array().cast("array<double>").alias("v"))
+    left = b.select("rows", F.explode(F.array(*[F.lit(x) for x in names])).alias("other"))
+    pairs = left.join(b.withColumnRenamed("blk", "other").withColumnRenamed("rows", "y"), "other").select(F.explode("rows").alias("x"), "y").select("x", F.explode("y").alias("y"))
+    return _rows_of(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), bio.hamming_normalized(F.col("x.t"), F.col("y.t")).alias("distance")))
+
+
 def dbscan(df: DataFrame, eps: float = 0.5, min_samples: int = 5, id_column: str = "vec_id", values: str = "embedding") -> DataFrame:
     """(id, cluster): density clusters numbered by their smallest core id in order, noise -1.
 

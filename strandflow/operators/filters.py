@@ -44,6 +44,15 @@ class Filter:
         return cls(**spec)
 
 
+FUNCTIONS: dict[str, Callable] = {}
+
+
+def named(function: Callable) -> Callable:
+    """Registers a function under its name, so that filters and generators that use it can be saved and loaded."""
+    FUNCTIONS[function.__name__] = function
+    return function
+
+
 def filter_from_spec(spec: dict[str, Any]) -> Filter:
     """The filter that a ``spec()`` describes; ValueError for unknown types."""
     rest = dict(spec)
@@ -227,11 +236,12 @@ class Sample(Filter):
 
 @dataclass(frozen=True)
 class Custom(Filter):
-    """Any function from frame to frame. It has no spec, as code can't be stored."""
+    """Any function from frame to frame. Code can't be stored, so it has a spec only under a ``name`` that ``FUNCTIONS`` knows when it is loaded."""
 
     function: Callable[[DataFrame], DataFrame]
     all_rows: bool = False
     must_have: str | None = None
+    name: str | None = None
 
     @property
     def needs_all(self) -> bool:  # type: ignore[override]
@@ -244,7 +254,15 @@ class Custom(Filter):
         return out
 
     def spec(self) -> dict[str, Any]:
-        raise ValueError("a custom filter has no spec")
+        if self.name is None:
+            raise ValueError("a custom filter without a name has no spec")
+        return {"type": "Custom", "name": self.name, "all_rows": self.all_rows, "must_have": self.must_have}
+
+    @classmethod
+    def from_spec(cls, spec: dict[str, Any]) -> Custom:
+        if spec["name"] not in FUNCTIONS:
+            raise KeyError(f"no function named {spec['name']!r}")
+        return cls(FUNCTIONS[spec["name"]], spec["all_rows"], spec["must_have"], spec["name"])
 
 
 @dataclass(frozen=True)

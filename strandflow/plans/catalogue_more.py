@@ -19,6 +19,7 @@ from ..sources import readers, structures, writers
 from ..store import Store
 from ..streaming.runner import filter_stream, read_stream, score_stream
 from .catalogue import _LATEST, P, _pred
+from .outputs import log_entries
 from .pipeline import FilterStage, Pipeline, Predict
 from .protocols import run_protocol
 from .queries import query
@@ -547,3 +548,54 @@ def frame_from_files(spark, d):
 def attributes_single(spark, d):
     a = read_table(spark, d, "sequence_attributes").where("attr_value is not null").distinct()
     return a.groupBy("sequence_id", "attr_name").agg(F.min("attr_value").alias("attr_value"), F.count("*").alias("n")).where("n = 1").drop("n")
+
+
+# --- Logging, differences, sources --------------------------------------------------------------
+
+
+@query("""select cast(p_partkey as varchar) as id, 'params' as what, 'brand' as key, p_brand as value from part where p_size > 40
+union all select cast(p_partkey as varchar), 'metrics', 'size', cast(p_size as varchar) from part where p_size > 40
+union all select cast(p_partkey as varchar), 'tags', 'rule', case when p_size > 45 then 'second' else 'first' end from part where p_size > 40
+union all select cast(p_partkey as varchar), 'artifacts', 'note', p_name from part where p_size > 45""")
+def output_log(spark, d):
+    p = read_table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_brand", "p_size")
+    first = {"where": "${{ p_size > 40 }}", "limit": None, "log": {"params": {"brand": "${{ p_brand }}", "none": "${{ absent }}"}, "metrics": {"size": "${{ p_size }}"}, "tags": {"rule": "first"}}}
+    second = {"where": "${{ p_size > 45 }}", "limit": None, "log": {"tags": {"rule": "second"}, "artifacts": [{"type": "text", "name": "note", "content": "${{ p_name }}"}]}}
+    return log_entries(p, [first, second]).select("id", "what", "key", "value")
+
+
+@query("""with s as (select distinct sequence, min(created_at) over (partition by sequence) < timestamp '2025-10-01' as old from sequences where sequence is not null and created_at < timestamp '2025-12-01')
+select count(*) as n_texts, count(*) filter (old) as n_known, count(*) filter (not old) as n_new from s""")
+def run_difference(spark, d):
+    s = read_table(spark, d, "sequences").where("sequence is not null and created_at < timestamp_ntz'2025-12-01 00:00:00'")
+    store = Store(spark, _folder(spark, "store"))
+    old = s.where("created_at < timestamp_ntz'2025-10-01 00:00:00'")
+    store.append("sequences", old.select("sequence_id", "sequence", bio.store_hash("sequence").alias("hash")))
+    known, new = Pipeline(spark, store).difference(s)
+    return spark.createDataFrame([(known + new, known, new)], "n_texts long, n_known long, n_new long")
+
+
+@query("""with h as (select a.n_nationkey as id, (select count(*) from unnest(range(1, greatest(length(a.n_name), length(b.n_name)) + 1)) r(i) where substr(a.n_name, i, 1) <> substr(b.n_name, i, 1)) / greatest(length(a.n_name), length(b.n_name)) as d from nation a, nation b)
+select id, count(*) as n, round(sum(d), 6) as total from h group by 1""")
+def hamming_distance_rows(spark, d):
+    h = cluster.hamming_rows(read_table(spark, d, "nation"), "n_nationkey", "n_name")
+    return h.select("id", F.size("v").cast("long").alias("n"), F.round(vectors.vec_sum("v"), 6).alias("total"))
+
+
+@query(f"""with {_PARTS}, p as (select distinct sequence from parts where sequence <> '')
+select sequence from (select reverse(sequence) || cast(run as varchar) as sequence from p, unnest([0, 1]) r(run) union select sequence || 'W' from p)""")
+def generate_runs(spark, d):
+    def backwards(x: DataFrame) -> DataFrame:
+        return x.select(F.concat(F.reverse("sequence"), F.col("run").cast("string")).alias("sequence"))
+
+    def longer(x: DataFrame) -> DataFrame:
+        return x.select(F.concat("sequence", F.lit("W")).alias("sequence"))
+
+    p = Pipeline(spark, Store(spark, _folder(spark, "store"))).generate("made", [backwards, longer], runs=2)
+    return p.run(_parts(spark, d).where("sequence <> ''").select("sequence").distinct()).select("sequence")
+
+
+@query("select distinct sequence from sequences where sequence is not null and trim(sequence) <> ''")
+def source_stage(spark, d):
+    p = Pipeline(spark, Store(spark, _folder(spark, "store"))).source("given", read_table(spark, d, "sequences"))
+    return p.run([]).select("sequence")

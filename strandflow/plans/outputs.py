@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,7 +14,9 @@ from pyspark.sql.window import Window
 from ..functions.bio import annotation_json
 from ..operators import sampling
 from ..operators.diversity import aggregates
-from .expressions import evaluate, template, where
+from ..session import staged
+from ..sources.readers import read_yaml
+from .expressions import evaluate, evaluate_tree, template, where
 
 DEFAULT_LIMIT = 200
 POSITION = "_position"
@@ -119,3 +122,96 @@ def rule_aggregates(df: DataFrame, config: Mapping[str, Any]) -> DataFrame:
     """(metric, value) of a config {outputs: [rules], aggregates: [{field, ops}], aggregate_over: selected|all}."""
     over = df if config.get("aggregate_over") == "all" else union_rules(df, config.get("outputs") or [])
     return aggregates(over, [(a["field"], a.get("ops") or []) for a in config.get("aggregates") or []])
+
+
+LOG_TABLES = {"params": "id string, key string, value string", "metrics": "id string, key string, value double", "tags": "id string, key string, value string", "artifacts": "id string, name string, kind string, content string"}
+
+
+def load_outputs(source: Mapping[str, Any] | str) -> dict[str, Any]:
+    """A config {outputs: [rules], aggregates: [...], aggregate_over} from a mapping or a YAML file; a wrong form raises ValueError."""
+    config = dict(source) if isinstance(source, Mapping) else read_yaml(source)
+    if not isinstance(config.get("outputs", []), list) or not all(isinstance(r, Mapping) for r in config.get("outputs", [])):
+        raise ValueError("outputs must be a list of rules")
+    if not isinstance(config.get("aggregates", []), list):
+        raise ValueError("aggregates must be a list")
+    if config.get("aggregate_over", "selected") not in ("selected", "all"):
+        raise ValueError("aggregate_over must be 'selected' or 'all'")
+    return config
+
+
+def log_entries(df: DataFrame, rules: Sequence[Mapping[str, Any]], id_column: str = "id") -> DataFrame:
+    """(id, what, key, value, kind) of all that the rules log of their selected rows: params, metrics, tags and artifacts.
+
+    Values in '${{ }}' are evaluated over the row; one that can't be is left out. Of a key that several
+    rules give, the last rule's stays. Artifacts of type ``seqparse`` (from ``content``, or ``entries`` of
+    {sequence, id}) become JSON records, several of them a list; ``json`` keeps texts and writes objects as
+    JSON; ``pdb``, ``text`` and any other type are texts. An artifact without content raises ValueError.
+    """
+    for rule in rules:
+        for a in (rule.get("log") or {}).get("artifacts") or []:
+            if not a.get("content") and not (a.get("type") == "seqparse" and "entries" in a):
+                raise ValueError(f"artifact {a.get('name', 'artifact')!r} must have content")
+    df = with_position(df)
+    marked = None
+    for i, rule in enumerate(rules):
+        if rule.get("log"):
+            one = select_rows(df, rule).select(POSITION, F.lit(i).alias("_rule"))
+            marked = one if marked is None else marked.unionByName(one)
+    empty = "id string, what string, key string, value string, kind string"
+    if marked is None:
+        return df.sparkSession.createDataFrame([], empty)
+    chosen = marked.groupBy(POSITION).agg(F.array_sort(F.collect_set("_rule")).alias("_rules"))  # at most one entry per rule
+    fields = [c for c in df.columns if c != POSITION]
+    src = df.join(chosen, POSITION).select(F.col(f"`{id_column}`").cast("string").alias("id"), "_rules", F.to_json(F.struct(*[F.col(f"`{c}`") for c in fields]), {"ignoreNullFields": "false"}).alias("row"))
+    logs = [dict(r.get("log") or {}) for r in rules]
+
+    def given(value: Any, row: dict[str, Any]) -> Any:
+        try:
+            return evaluate_tree(value, row)
+        except (KeyError, ValueError):
+            return None
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for rid, mine, text in zip(pdf["id"], pdf["_rules"], pdf["row"]):
+                row, seen = json.loads(text), {}
+                for i in mine:
+                    for what in ("params", "metrics", "tags"):
+                        for k, v in (logs[i].get(what) or {}).items():
+                            if (v := given(v, row)) is not None:
+                                seen[what, str(k)] = (v if isinstance(v, str) else json.dumps(v), None)
+                    for a in logs[i].get("artifacts") or []:
+                        kind = a.get("type", "text")
+                        if kind == "seqparse":
+                            entries = a["entries"] if "entries" in a else [{"sequence": a["content"], "id": row.get("id") or row.get("sequence_id")}]
+                            made = [{"id": given(e.get("id"), row), "sequence": given(e.get("sequence"), row)} for e in entries]
+                            made = [{k: None if x is None else str(x) for k, x in e.items()} for e in made if e["sequence"]]
+                            v = json.dumps(made) if made else None
+                        else:
+                            v = given(a["content"], row)
+                            v = json.dumps(v, indent=2) if kind == "json" and isinstance(v, dict) else None if v is None else str(v)
+                        if v is not None:
+                            seen["artifacts", a.get("name", "artifact")] = (v, kind)
+                out += [(rid, what, k, v, kind) for (what, k), (v, kind) in seen.items()]
+            yield pd.DataFrame(out, columns=["id", "what", "key", "value", "kind"])
+
+    got = src.mapInPandas(run, empty)
+    entries = F.transform(F.from_json("value", "array<struct<id:string,sequence:string>>"), lambda e: annotation_json(e["id"], e["sequence"]))
+    records = F.when(F.size(entries) == 1, entries[0]).otherwise(F.concat(F.lit("["), F.array_join(entries, ","), F.lit("]")))
+    return got.withColumn("value", F.when(F.col("kind") == "seqparse", records).otherwise(F.col("value")))
+
+
+def write_log(df: DataFrame, config: Mapping[str, Any] | str, path: str, id_column: str = "id") -> None:
+    """Appends what a config's rules log to the tables params, metrics, tags and artifacts under ``path``, and its aggregates to ``aggregates``."""
+    config = load_outputs(config)
+    e = staged(log_entries(df, config.get("outputs") or [], id_column), "log")
+    for what, schema in LOG_TABLES.items():
+        part = e.where(F.col("what") == what)
+        if what == "artifacts":
+            rows = part.select("id", F.col("key").alias("name"), "kind", F.col("value").alias("content"))
+        else:
+            rows = part.select("id", "key", F.col("value").try_cast("double").alias("value") if what == "metrics" else F.col("value"))
+        rows.write.mode("append").parquet(f"{path}/{what}")
+    if config.get("aggregates"):
+        rule_aggregates(df, config).write.mode("append").parquet(f"{path}/aggregates")

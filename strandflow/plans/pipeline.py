@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import warnings
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -14,9 +15,10 @@ from ..functions import extract
 from ..operators import cluster, generate
 from ..operators import relational as R
 from ..operators.checks import check_name
-from ..operators.filters import Filter, filter_from_spec
+from ..operators.filters import FUNCTIONS, Filter, filter_from_spec
 from ..scoring import Scorer, score
 from ..session import staged
+from ..sources import readers
 from ..store import Store
 
 
@@ -57,7 +59,7 @@ class Predict(Stage):
 
     mode = "union"
 
-    def __init__(self, name: str, scorer: Scorer, extractions: Any = None, columns: Any = None, action: str = "predict", params: dict | None = None, embedding_key: str | None = None, layer: int | None = None, reduction: str | None = None, structure_key: str | None = None, plddt_key: str | None = None, skip_on_error: bool = False, item_columns: Sequence[str] = ("sequence",), depends_on: Sequence[str] | None = None, batch_size: int = 32):
+    def __init__(self, name: str, scorer: Scorer, extractions: Any = None, columns: Any = None, action: str = "predict", params: dict | None = None, embedding_key: str | Callable[[Any], Sequence[float] | None] | None = None, layer: int | None = None, reduction: str | None = None, structure_key: str | None = None, plddt_key: str | None = None, skip_on_error: bool = False, item_columns: Sequence[str] = ("sequence",), depends_on: Sequence[str] | None = None, batch_size: int = 32):
         super().__init__(name, depends_on)
         self.scorer, self.action, self.params = scorer, action, params or {}
         self.extractions = extract.resolve(extractions, columns) if extractions is not None else []
@@ -94,7 +96,7 @@ class Predict(Stage):
                 rows = rows.unionByName(p)
             store.add_predictions(rows)
         if self.embedding_key:
-            v = extract.embedding("response", self.embedding_key, self.layer, self.reduction)
+            v = extract.embedding_by(self.embedding_key, "response") if callable(self.embedding_key) else extract.embedding("response", self.embedding_key, self.layer, self.reduction)
             store.add_embeddings(responses.select("sequence_id", model, F.lit(self.layer).cast("int").alias("layer"), v.cast("array<float>").alias("values")).where("values is not null"))
         if self.structure_key:
             s = extract.structure("response", self.structure_key, 0, self.plddt_key)
@@ -121,6 +123,8 @@ class Predict(Stage):
         return self.complete(ids, store)
 
     def spec(self) -> dict[str, Any]:
+        if callable(self.embedding_key):
+            raise ValueError("a prediction with a function for its embedding has no spec")
         return {**super().spec(), "model": self.scorer.name, "action": self.action, "params": self.params, "extractions": [[e.key, e.column, e.reduction] for e in self.extractions], "embedding_key": self.embedding_key, "layer": self.layer, "reduction": self.reduction, "structure_key": self.structure_key, "plddt_key": self.plddt_key, "skip_on_error": self.skip_on_error, "item_columns": self.item_columns}
 
 
@@ -167,38 +171,74 @@ class ClusterStage(Stage):
 
     mode = "union"
 
-    def __init__(self, name: str, model: str, method: str = "kmeans", depends_on: Sequence[str] | None = None, **options: Any):
+    def __init__(self, name: str, model: str = "", method: str = "kmeans", depends_on: Sequence[str] | None = None, metric: str = "embedding", **options: Any):
+        """``metric`` is ``embedding`` (the vectors of ``model``), ``embedding_rows`` or ``hamming`` (rows of all distances, for small sets)."""
         super().__init__(name, depends_on)
-        self.model, self.method, self.options = model, method, options
+        self.model, self.method, self.metric, self.options = model, method, metric, options
         if method not in ("kmeans", "dbscan", "hierarchical"):
             raise ValueError(f"unknown method {method!r}")
+        if metric not in ("embedding", "embedding_rows", "hamming"):
+            raise ValueError(f"unknown metric {metric!r}")
+
+    def vectors(self, ids: DataFrame, store: Store) -> DataFrame:
+        if self.metric == "hamming":
+            return cluster.hamming_rows(R.semi_lookup(store.table("sequences"), ids, "sequence_id")).toDF("sequence_id", "values")
+        e = R.semi_lookup(store.table("embeddings").where(F.col("model_name") == self.model), ids, "sequence_id").select("sequence_id", "values")
+        return cluster.distance_rows(e, "sequence_id", "values").toDF("sequence_id", "values") if self.metric == "embedding_rows" else e
 
     def run(self, ids: DataFrame, store: Store, run_id: str) -> tuple[DataFrame, StageResult]:
-        e = staged(R.semi_lookup(store.table("embeddings").where(F.col("model_name") == self.model), ids, "sequence_id").select("sequence_id", "values"), "vectors")
+        e = staged(self.vectors(ids, store), "vectors")
         f = {"kmeans": cluster.kmeans, "dbscan": cluster.dbscan, "hierarchical": cluster.hierarchical}[self.method]
         c = staged(f(e, id_column="sequence_id", values="values", **self.options), "clusters")
         m = cluster.medoids(e.join(c.withColumnRenamed("id", "sequence_id"), "sequence_id"), "sequence_id", "values", "cluster")
-        store.add_predictions(cluster.cluster_predictions(c, m, self.name).withColumn("model_name", F.lit(f"{self.method}:{self.model}")))
+        store.add_predictions(cluster.cluster_predictions(c, m, self.name).withColumn("model_name", F.lit(f"{self.method}:{self.model or self.metric}")))
         n = ids.count()
         return ids, StageResult(self.name, n, n)
 
     def spec(self) -> dict[str, Any]:
-        return {**super().spec(), "model": self.model, "method": self.method, "options": self.options}
+        return {**super().spec(), "model": self.model, "method": self.method, "metric": self.metric, "options": self.options}
+
+
+Maker = Callable[[DataFrame], DataFrame]
 
 
 class GenerateStage(Stage):
-    """Adds sequences that a function makes from the store; runs before all other stages."""
+    """Adds sequences that one or several functions make from the store; runs before all other stages.
+
+    A function gets the parents (with ``run``, 0 to ``runs`` - 1, and the columns of ``inputs``, such as
+    stored structures) and gives ``sequence``. With ``skip_on_error`` a function that fails is left out with a
+    warning, unless all fail. A saved definition has the functions' names (``filters.named``).
+    """
 
     mode = "union"
 
-    def __init__(self, name: str, make: Callable[[DataFrame], DataFrame], label: str | None = None, depends_on: Sequence[str] | None = None):
+    def __init__(self, name: str, make: Maker | Sequence[Maker], label: str | None = None, depends_on: Sequence[str] | None = None, runs: int = 1, skip_on_error: bool = False, inputs: Callable[[Store], DataFrame] | None = None):
         super().__init__(name, depends_on)
-        self.make, self.label = make, label
+        self.makes = list(make) if isinstance(make, Sequence) else [make]
+        self.label, self.runs, self.skip_on_error, self.inputs = label, runs, skip_on_error, inputs
+
+    def parents(self, ids: DataFrame, store: Store) -> DataFrame:
+        p = R.semi_lookup(store.table("sequences"), ids, "sequence_id")
+        if self.inputs is not None:
+            p = R.join_using(p, self.inputs(store), "sequence_id", "left")
+        return p.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(self.runs - 1)))) if self.runs > 1 else p.withColumn("run", F.lit(0))
 
     def run(self, ids: DataFrame, store: Store, run_id: str) -> tuple[DataFrame, StageResult]:
-        parents = R.semi_lookup(store.table("sequences"), ids, "sequence_id")
-        new = self.make(parents).withColumn("sequence", F.upper("sequence")).dropDuplicates(["sequence"])
-        placed = staged(store.add_sequences(new), "generated")
+        parents, made, failed = self.parents(ids, store), [], []
+        for make in self.makes:
+            try:
+                made.append(staged(make(parents).withColumn("sequence", F.upper("sequence")), "made"))
+            except Exception as e:
+                if not self.skip_on_error:
+                    raise
+                failed.append(e)
+                warnings.warn(f"stage {self.name}: a generator failed: {e}", RuntimeWarning, stacklevel=2)
+        if not made:
+            raise failed[-1]
+        new = made[0]
+        for m in made[1:]:
+            new = new.unionByName(m, allowMissingColumns=True)
+        placed = staged(store.add_sequences(new.where("sequence is not null and sequence <> ''").dropDuplicates(["sequence"])), "generated")
         cols = {"run_id": F.lit(run_id), "label": F.lit(self.label).cast("string"), "model_name": F.lit(self.name)}
         store.add_generation(placed.select("sequence_id", *[c for c in placed.columns if c in ("temperature", "metadata")]).withColumns(cols))
         out = R.id_set(placed)
@@ -208,6 +248,54 @@ class GenerateStage(Stage):
         g = store.table("generation_metadata").where((F.col("run_id") == run_id) & (F.col("model_name") == self.name))
         return R.id_set(g)
 
+    def spec(self) -> dict[str, Any]:
+        if self.inputs is not None or not all(FUNCTIONS.get(m.__name__) is m for m in self.makes):
+            raise ValueError("a generator has a spec only if its functions are named")
+        return {**super().spec(), "make": [m.__name__ for m in self.makes], "label": self.label, "runs": self.runs, "skip_on_error": self.skip_on_error}
+
+
+def stored_structures(store: Store) -> DataFrame:
+    """(sequence_id, structure_str, format): generation input from the latest structure of each sequence."""
+    return store.latest_structures().select("sequence_id", "structure_str", "format")
+
+
+def structure_files(path: str, key: str = "id") -> Callable[[Store], DataFrame]:
+    """Generation input (sequence_id, structure_str) from PDB or CIF files named by the sequence id."""
+
+    def read(store: Store) -> DataFrame:
+        f = store.spark.read.option("wholetext", True).text(path).select(F.col("value").alias("structure_str"), F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)\.", 1).try_cast("long").alias("sequence_id"))
+        return f.where("sequence_id is not null").select("sequence_id", "structure_str")
+
+    return read
+
+
+class SourceStage(Stage):
+    """Takes sequences that are there already, without any model: texts, a frame, files, or the store.
+
+    From the store, a run that generated sequences gives those only, any other run all that the store has.
+    """
+
+    mode = "union"
+
+    def __init__(self, name: str, rows: DataFrame | Sequence[str] | str | None = None, column: str = "sequence", depends_on: Sequence[str] | None = None):
+        super().__init__(name, depends_on)
+        self.rows, self.column = rows, column
+
+    def run(self, ids: DataFrame, store: Store, run_id: str) -> tuple[DataFrame, StageResult]:
+        spark, rows = store.spark, self.rows
+        if rows is None:
+            made = R.id_set(store.table("generation_metadata").where(F.col("run_id") == run_id))
+            out = staged(R.id_set(store.table("sequences")) if made.isEmpty() else made, "ids")
+        else:
+            if isinstance(rows, str):
+                rows = readers.read_csv_strings(spark, rows, self.column) if rows.endswith(".csv") else readers.read_sequences(spark, rows)
+            elif not isinstance(rows, DataFrame):
+                rows = spark.createDataFrame([(i, s) for i, s in enumerate(rows)], f"_n long, {self.column} string").orderBy("_n")
+            text = rows.select(F.col(self.column).alias("sequence")).where("sequence is not null and trim(sequence) <> ''")
+            out = staged(R.id_set(store.add_sequences(text)), "ids")
+        n = out.count()
+        return out, StageResult(self.name, n, n)
+
 
 def levels(stages: Sequence[Stage]) -> list[list[Stage]]:
     """Stages in levels, each after all it depends on. Unknown names and circles raise ValueError."""
@@ -262,16 +350,20 @@ class Pipeline:
     def filter(self, name: str, f: Filter, **options: Any) -> Pipeline:
         return self.add(FilterStage(name, f, **options))
 
-    def cluster(self, name: str, model: str, **options: Any) -> Pipeline:
+    def cluster(self, name: str, model: str = "", **options: Any) -> Pipeline:
         return self.add(ClusterStage(name, model, **options))
 
     def cofold(self, name: str, scorer: Scorer, entities: Sequence[dict], **options: Any) -> Pipeline:
         return self.add(Cofold(name, scorer, entities, **options))
 
-    def generate(self, name: str, make: Callable[[DataFrame], DataFrame], **options: Any) -> Pipeline:
+    def generate(self, name: str, make: Maker | Sequence[Maker], **options: Any) -> Pipeline:
         self.kind = "GenerativePipeline"
         return self.add(GenerateStage(name, make, **options))
 
+    def source(self, name: str, rows: DataFrame | Sequence[str] | str | None = None, **options: Any) -> Pipeline:
+        self.kind = "GenerativePipeline"
+        return self.add(SourceStage(name, rows, **options))
+
     # --- running ---
 
     def ingest(self, rows: DataFrame | Sequence[str] | None, columns: Sequence[str] | None = None) -> DataFrame:
@@ -283,8 +375,16 @@ class Pipeline:
             return staged(R.id_set(self.store.add_sequences(rows, columns, "_pos")), "ids")
         return staged(R.id_set(self.store.add_sequences(rows, columns)), "ids")
 
-    def run(self, rows: DataFrame | Sequence[str] | None = None, columns: Sequence[str] | None = None) -> DataFrame:
-        """The wide rows of the ids that the last level leaves."""
+    def difference(self, rows: DataFrame | Sequence[str], column: str = "sequence") -> tuple[int, int]:
+        """(texts that the store has, texts that are new) of an input, before it is added."""
+        if not isinstance(rows, DataFrame):
+            rows = self.spark.createDataFrame([(s,) for s in rows], f"{column} string")
+        distinct = rows.select(column).distinct()
+        known = self.store.count_matching(distinct, column)
+        return known, distinct.count() - known
+
+    def run(self, rows: DataFrame | Sequence[str] | None = None, columns: Sequence[str] | None = None, diff: bool = False) -> DataFrame:
+        """The wide rows of the ids that the last level leaves. With ``diff``, ``results["input"]`` counts the input's texts and those skipped as known."""
         specs = []
         for s in self.stages:
             try:
@@ -293,8 +393,11 @@ class Pipeline:
                 specs.append({"type": type(s).__name__, "name": s.name, "depends_on": s.depends_on})
         definition = self.store.save_definition(self.kind, specs, list(columns or []))
         self.store.set_run(self.run_id, "running", self.kind, definition_id=definition)
+        if diff and rows is not None:
+            known, new = self.difference(rows, columns[0] if columns else "sequence")
+            self.results["input"] = StageResult("input", known + new, known + new, cached=known, computed=new)
         start = self.ingest(rows, columns)
-        makers = [s for s in self.stages if isinstance(s, GenerateStage)]
+        makers = [s for s in self.stages if isinstance(s, (GenerateStage, SourceStage))]
         made = [self._one(s, start) for s in makers]
         if made:
             start = staged(R.ids_union(*made), "ids")
@@ -327,12 +430,10 @@ class Pipeline:
             got = s.reload(ids, self.store, self.run_id)
             n = got.count()
             if n != done[1]:
-                import warnings
-
                 warnings.warn(f"stage {s.name}: {n} ids reloaded, {done[1]} recorded", RuntimeWarning, stacklevel=2)
             self.results[s.name] = StageResult(s.name, done[0], n, resumed=True)
             return got
-        if ids.isEmpty() and not isinstance(s, GenerateStage):
+        if ids.isEmpty() and not isinstance(s, (GenerateStage, SourceStage)):
             self.results[s.name] = StageResult(s.name, 0, 0)
             return ids
         got, r = s.run(ids, self.store, self.run_id)
@@ -377,13 +478,17 @@ def stage_from_spec(spec: dict[str, Any], scorers: dict[str, Scorer]) -> Stage:
     if kind == "FilterStage":
         return FilterStage(name, filter_from_spec(x["filter"]), deps)
     if kind == "ClusterStage":
-        return ClusterStage(name, x["model"], x["method"], deps, **x["options"])
+        return ClusterStage(name, x["model"], x["method"], deps, x.get("metric", "embedding"), **x["options"])
     if kind in ("Predict", "Cofold"):
         if x["model"] not in scorers:
             raise KeyError(f"no scorer named {x['model']!r}")
         ex = [extract.Extraction(*e) for e in x.pop("extractions")] or None
         scorer = scorers[x.pop("model")]
         return (Cofold if kind == "Cofold" else Predict)(name, scorer, **({"entities": x.pop("entities")} if kind == "Cofold" else {}), extractions=ex, depends_on=deps, **x)
+    if kind == "GenerateStage" and "make" in x:
+        if lack := [m for m in x["make"] if m not in FUNCTIONS]:
+            raise KeyError(f"no functions named {lack}")
+        return GenerateStage(name, [FUNCTIONS[m] for m in x.pop("make")], depends_on=deps, **x)
     raise ValueError(f"a {kind} can't be made from its saved form")
 
 
@@ -401,6 +506,16 @@ def predict(spark: SparkSession, path: str, sequences: Sequence[str], scorer: Sc
     return Pipeline(spark, Store(spark, path)).predict("predict", scorer, extractions, columns, **options).run(sequences)
 
 
+def generate_sequences(spark: SparkSession, path: str, make: Maker | Sequence[Maker], sequences: Sequence[str] | None = None, **options: Any) -> DataFrame:
+    """Generated sequences in one call."""
+    return Pipeline(spark, Store(spark, path)).generate("generate", make, **options).run(sequences)
+
+
+def single_step(spark: SparkSession, path: str, stage: Stage, sequences: Sequence[str] | None = None) -> DataFrame:
+    """A pipeline of one stage."""
+    return Pipeline(spark, Store(spark, path)).add(stage).run(sequences)
+
+
 def embed(spark: SparkSession, path: str, sequences: Sequence[str], scorer: Scorer, key: str = "embedding", **options: Any) -> DataFrame:
     """Embeddings (sequence_id, sequence, values) in one call."""
     p = Pipeline(spark, Store(spark, path)).add(Predict("embed", scorer, embedding_key=key, action="encode", **options))
