@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WINDOW = 8  # letters of a window, and the fewest letters that make a record a case
+NUCLEOTIDE = np.zeros(256, bool)
+NUCLEOTIDE[[ord(c) for c in "ACGTUN"]] = True
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xBF58476D1CE4E5B9)
 _C = np.uint64(0x94D049BB133111EB)
@@ -61,6 +63,39 @@ def window_starts(off: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.
     return np.arange(total) + np.repeat(off[:-1] - starts[:-1], counts), starts
 
 
+def picked(data: np.ndarray, off: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of the texts with the given numbers."""
+    if len(own) == len(off) - 1:
+        return data, off
+    size = np.diff(off)[own]
+    out = np.concatenate([[0], np.cumsum(size)])
+    return data[np.arange(int(out[-1])) + np.repeat(off[:-1][own] - out[:-1], size)], out
+
+
+def window_counts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text its number of distinct windows, and of those that are all nucleotide codes.
+
+    Texts without such a window, which are most, are counted by places, repeats included.
+    """
+    at, starts = window_starts(off)
+    all_, few = np.diff(starts), np.concatenate([[0], np.cumsum(~NUCLEOTIDE[data])])
+    text = np.repeat(np.arange(len(all_)), all_)
+    some = np.bincount(text[few[at + WINDOW] == few[at]], minlength=len(all_))
+    own = np.flatnonzero(some)
+    if len(own):
+        d, o = picked(data, off, own)
+        at, starts = window_starts(o)
+        bits = np.uint64(5 * WINDOW)
+        code = np.sort((np.repeat(np.arange(len(own), dtype=np.uint64), np.diff(starts)) << bits) | packed(d, WINDOW)[at])
+        code = code[np.concatenate([[True], code[1:] != code[:-1]])]
+        plain = np.ones(len(code), bool)
+        for j in range(WINDOW):
+            plain &= NUCLEOTIDE[((code >> np.uint64(5 * j)) & np.uint64(31)).astype(np.int64) + 65]
+        text = (code >> bits).astype(np.int64)
+        all_[own], some[own] = np.bincount(text, minlength=len(own)), np.bincount(text[plain], minlength=len(own))
+    return all_, some
+
+
 def distinct_windows(text: bytes) -> np.ndarray:
     """Sorted distinct window codes of one text of letters."""
     return np.unique(packed(np.frombuffer(text, np.uint8), WINDOW))

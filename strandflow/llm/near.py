@@ -16,6 +16,8 @@ from . import letters as L
 from .pairs import LEADERS, few_pairs, pair_runs, prefix_windows, verified
 
 SLOTS, CHUNK, ERRORS, BITS = 24, 3, 1, 32
+PARTS, GROUP_BITS = 16, 2  # chunks of a nucleotide signature, and the bits of a window's hash that number its slot in one
+MANY = 64  # distinct windows from which a text of nucleotides only has no keys of the other kind
 
 
 def signatures(data: np.ndarray, off: np.ndarray, slots: int = SLOTS, bits: int = BITS) -> np.ndarray:
@@ -53,16 +55,61 @@ def chunk_keys(sig: np.ndarray, chunk: int = CHUNK, errors: int = ERRORS) -> np.
     return np.stack(keys, 1)
 
 
-def signature_keys(texts: DataFrame, slots: int = SLOTS, chunk: int = CHUNK, errors: int = ERRORS, bits: int = BITS) -> DataFrame:
-    """(key, id) for every multi-index key of texts (id, letters)."""
+def grouped_signatures(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Minwise signatures, one row per text, of ``PARTS`` chunks with ``2 ** GROUP_BITS`` slots each.
+
+    A chunk deals the windows by their hash to its slots, and a slot is the smallest hash among its own.
+    So no window fills two slots of a chunk, as it often would where there are only 65,536 to choose from. A
+    slot without windows takes the chunk's smallest hash.
+    """
+    at, starts = L.window_starts(off)
+    code = L.mix(L.packed(data, L.WINDOW)[at] + np.uint64(1))
+    odd = L.mix(np.arange(1, PARTS + 1, dtype=np.uint64) * L._B) | np.uint64(1)
+    groups = 1 << GROUP_BITS
+    out = np.empty((len(off) - 1, PARTS, groups), np.uint64)
+    none = ~np.uint64(0)
+    with np.errstate(over="ignore"):
+        for c in range(PARTS):
+            h, own = code * odd[c] + odd[c], (code >> np.uint64(GROUP_BITS * c)) & np.uint64(groups - 1)
+            for g in range(groups):
+                out[:, c, g] = np.minimum.reduceat(np.where(own == g, h, none), starts[:-1])
+    least = np.broadcast_to(out.min(2, keepdims=True), out.shape)
+    return L.mix(np.where(out == none, least, out)).reshape(len(out), -1)
+
+
+def key_kinds(data: np.ndarray, off: np.ndarray, at_least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(general, nucleotide): which texts need the keys of ``signatures``, and which those of ``grouped_signatures``.
+
+    Every text needs one kind, and two texts of similarity ``at_least`` have a kind in common, for certain.
+    With ``share = at_least / (1 + at_least)``, they have at least ``share`` of their two numbers of windows
+    together in common. A text without the general kind has less than ``share`` of other windows than of
+    nucleotides, one without the nucleotide kind has less than ``share`` of these, so such two have fewer. Few
+    windows need the general kind, of which those of twice as many (at 0.5) have either.
+    """
+    n, plain = L.window_counts(data, off)
+    share = at_least / (1 + at_least) - 1e-9
+    return (n - plain >= share * n) | (n < MANY), (plain >= share * n) & (n >= at_least * MANY)
+
+
+def signature_keys(texts: DataFrame, slots: int = SLOTS, chunk: int = CHUNK, errors: int = ERRORS, bits: int = BITS, at_least: float = 0.5) -> DataFrame:
+    """(key, id) for every multi-index key of texts (id, letters).
+
+    Nucleotides have few different windows, so unrelated texts often agree in the two slots of a general key,
+    and ever more of them the larger the table. Their keys take three of the four slots of a
+    ``grouped_signatures`` chunk.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = chunk_keys(signatures(*L.buffers(batch.column(1)), slots, bits), chunk, errors)
-            ids = np.repeat(batch.column(0).to_numpy(), keys.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(ids)], names=["key", "id"])
+            data, off = L.buffers(batch.column(1))
+            general, plain = map(np.flatnonzero, key_kinds(data, off, at_least))
+            for own, sign in ((general, lambda *t: chunk_keys(signatures(*t, slots, bits), chunk, errors)), (plain, lambda *t: L.mix(chunk_keys(grouped_signatures(*t), 1 << GROUP_BITS, 1)))):
+                if len(own):
+                    keys = sign(*L.picked(data, off, own))
+                    ids = np.repeat(batch.column(0).to_numpy()[own], keys.shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(ids)], names=["key", "id"])
 
     return texts.select("id", "letters").mapInArrow(run, "key long, id long")
 
@@ -87,6 +134,14 @@ def _between(members: DataFrame, strays: DataFrame) -> DataFrame:
     return a.join(b, "key").where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _with_links(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after further links (a, b), which often there are none of."""
+    links = staged(links, "links")
+    if links.isEmpty():
+        return found
+    return connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links), "a", "b")
+
+
 def near_groups(df: DataFrame, id_col: str = "sequence_id", text_col: str = "sequence", at_least: float = 0.5, leaders: int = LEADERS, **sign: int) -> DataFrame:
     """(group_id, member_id): every record of a group of two or more, group_id being its smallest id.
 
@@ -96,6 +151,7 @@ def near_groups(df: DataFrame, id_col: str = "sequence_id", text_col: str = "seq
     2. Texts get b-bit minwise signatures; a multi-index Hamming join over chunks of slots gives
        candidates: all pairs within the signature distance of ``chunk_keys`` and most beyond it (at the
        defaults a pair of similarity 0.5 shares no key with probability 0.004, of 0.6 with 0.0002).
+       Nucleotide texts have longer keys, and more of them (``signature_keys``), with about the same loss.
     3. Candidates are checked exactly, and components of the links found.
     4. A key shared by more than ``leaders`` texts gives only pairs with its leaders. Its members that then
        are in different components are compared with each other, or, where those are many pairs, through
@@ -108,7 +164,7 @@ def near_groups(df: DataFrame, id_col: str = "sequence_id", text_col: str = "seq
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), L.letters(F.col(text_col)).alias("letters")).where(F.col("id").isNotNull() & (F.length("letters") >= L.WINDOW))
     texts = staged(rows.groupBy("letters").agg(F.min("id").alias("id")), "texts")
-    runs = staged(pair_runs(signature_keys(texts, **sign), leaders), "runs")
+    runs = staged(pair_runs(signature_keys(texts, at_least=at_least, **sign), leaders), "runs")
     pairs = runs.where("kind = 0").select("a", "b").where("a <> b").distinct()
     links = staged(verified(pairs, texts, at_least), "links")
     found = connected_components(links, "a", "b")
@@ -122,11 +178,9 @@ def near_groups(df: DataFrame, id_col: str = "sequence_id", text_col: str = "seq
             again = staged(pair_runs(rare, leaders), "runs")
             comp = m.select("id", "component").distinct()
             met = again.where("kind = 0").select("a", "b").distinct().join(comp.toDF("a", "ca"), "a").join(comp.toDF("b", "cb"), "b").where("ca <> cb").select("a", "b")
-            links = staged(links.unionByName(verified(met.join(pairs, ["a", "b"], "left_anti"), texts, at_least)), "links")
-            found = connected_components(links, "a", "b")
+            found = _with_links(found, verified(met.join(pairs, ["a", "b"], "left_anti"), texts, at_least))
             rest = _between(*_open_members(again.where("kind = 1").select("key", F.col("a").alias("id")), found))
-        links = links.unionByName(verified(rest.join(pairs, ["a", "b"], "left_anti"), texts, at_least))
-        found = connected_components(links, "a", "b")
+        found = _with_links(found, verified(rest.join(pairs, ["a", "b"], "left_anti"), texts, at_least))
     found = staged(found, "found")
     # Records to texts by a digest of the letters: the letters themselves need not move again.
     keyed = rows.select("id", F.unhex(F.sha2("letters", 256)).alias("h"))

@@ -113,6 +113,49 @@ def test_a_frequent_window_in_many_prefixes_makes_few_pairs(spark, monkeypatch):
     assert sum(seen) < 400 * 399 / 4
 
 
+def test_unrelated_nucleotide_texts_rarely_share_a_key(spark):
+    rng = random.Random(5)
+    texts = spark.createDataFrame([(i, text(rng, 400, "ACGT")) for i in range(3000)], "id long, letters string")
+    runs = pair_runs(near.signature_keys(texts), 64)
+    assert runs.select("kind", "a", "b").distinct().count() < 100  # of 4.5 million; two slots a key gave about 1,000
+
+
+def test_similar_texts_have_a_kind_of_key_in_common():
+    rng = random.Random(6)
+    pairs = []
+    while len(pairs) < 1500:
+        n = rng.choice([12, 30, 60, 71, 72, 90, 150])
+        cut, mixed = rng.randint(0, n), rng.random() < 0.7
+        a = text(rng, cut, "ACGT") + text(rng, n - cut, AA if mixed else "ACGT")
+        i, j = sorted((rng.randint(0, n), rng.randint(0, n)))
+        b = rng.choice([a[i:j], a[i:] + text(rng, i, AA), text(rng, n - j) + a[:j], edited(rng, a + "ACGT")])
+        if len(b) >= 8 and len(windows(a) & windows(b)) >= 0.5 * len(windows(a) | windows(b)):
+            pairs += [a, b]
+    data, off = np.frombuffer("".join(pairs).encode(), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in pairs])])
+    general, plain = near.key_kinds(data, off, 0.5)
+    assert (general | plain).all() and not general.all() and plain.any()
+    assert ((general[0::2] & general[1::2]) | (plain[0::2] & plain[1::2])).all()
+
+
+def test_near_groups_of_nucleotides_and_mixed_texts(spark):
+    rng = random.Random(7)
+    rows = []
+    for g in range(60):
+        n = rng.choice([45, 80, 200, 400])
+        first = text(rng, n, "ACGT") if g % 3 else text(rng, n // 2, "ACGU") + text(rng, n - n // 2)
+        rows += [(len(rows) + i + 1, t) for i, t in enumerate([first, edited(rng, first), edited(rng, first)])]
+    got = {tuple(r) for r in near_groups(spark.createDataFrame(rows, "sequence_id long, sequence string")).collect()}
+    w = {i: windows(t) for i, t in rows}
+    low = {i: i for i in w}
+    for i in w:
+        for j in w:
+            if i < j and len(w[i] & w[j]) >= 0.5 * len(w[i] | w[j]):
+                a, b = sorted((low[i], low[j]))
+                low = {k: a if v == b else v for k, v in low.items()}
+    size = {g: list(low.values()).count(g) for g in low.values()}
+    assert got == {(g, i) for i, g in low.items() if size[g] > 1}
+
+
 def test_near_groups_include_their_first_member_once(spark, rows):
     g = near_groups(spark.createDataFrame(rows, SCHEMA))
     assert g.count() == g.distinct().count()
